@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.byte_bpe import bpe_decode, bpe_encode
 from invarium.llm.packing import pack_documents
+from invarium.llm.token_store import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +31,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe)}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).read_digests()
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store)}
 SQL: dict[str, str] = {}
