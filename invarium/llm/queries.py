@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from invarium.llm.byte_bpe import bpe_decode, bpe_encode
 from invarium.llm.packing import pack_documents
+from invarium.llm.quality_rules import fit_label_model, judged, measured
+from invarium.llm.shared import staged
 from invarium.llm.token_store import stored
 
 
@@ -35,5 +37,13 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).read_digests()
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store)}
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = staged(measured(table(spark, sf_dir, "documents"), ["doc_id"]), "measures")
+    return judged(measures, fit_label_model(measures)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules)}
 SQL: dict[str, str] = {}
