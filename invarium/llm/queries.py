@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invarium.llm.byte_bpe import bpe_decode, bpe_encode
+from invarium.llm.line_dedup import dedup_lines
 from invarium.llm.packing import pack_documents
 from invarium.llm.quality_rules import fit_label_model, judged, measured
 from invarium.llm.shared import staged
@@ -45,5 +46,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules)}
-SQL: dict[str, str] = {}
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, least_chars=1)
+    return lines.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules, op10_line_dedup)}
+SQL: dict[str, str] = {
+    "op10_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents
+), k AS (
+  SELECT doc_id, i, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), d AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(d.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE d.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN d ON k.key = d.key
+GROUP BY k.doc_id""",
+}
