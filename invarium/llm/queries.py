@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invarium.llm.byte_bpe import bpe_decode, bpe_encode
+from invarium.llm.language_model import score_documents
 from invarium.llm.line_dedup import dedup_lines
 from invarium.llm.packing import pack_documents
 from invarium.llm.quality_rules import fit_label_model, judged, measured
@@ -48,6 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(fingerprint(table(spark, sf_dir, "documents"), shingle=3, seed=42))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules, op8_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": """
 WITH l AS (
