@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from invarium.llm.byte_bpe import bpe_decode, bpe_encode
 from invarium.llm.language_model import score_documents
 from invarium.llm.line_dedup import dedup_lines
+from invarium.llm.neighbours import nearest
 from invarium.llm.packing import pack_documents
 from invarium.llm.quality_rules import fit_label_model, judged, measured
 from invarium.llm.shared import staged
@@ -36,6 +37,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).read_digests()
 
@@ -63,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": """
 WITH l AS (
