@@ -1,9 +1,9 @@
 """Vocabulary files applied to whole batches of texts.
 
-Every vocabulary used here merges inside pre-split pieces that never reach from
-a visible character across the space behind it.  A text may hence be cut before
-any plain space that follows a visible character, and equal chunks have equal
-ids.  A batch encodes each distinct chunk once; the ids of the texts are
+Every vocabulary used here merges inside pre-split pieces: runs of letters, of
+digits or of other visible characters, with at most one space before, or runs
+of white space.  A text may hence be cut where two pieces are sure to meet, and
+equal chunks have equal ids.  A batch encodes each distinct chunk once; the ids of the texts are
 gathered with NumPy.
 """
 
@@ -20,22 +20,41 @@ import pyarrow as pa
 from invarium.llm.arrays import codes_of, gather, spans
 
 #: Chunks kept from batch to batch; the store starts anew beyond it.
-CACHE_CHUNKS = 200_000
-#: Longer chunks are split by the vocabulary's own pattern first.
-LONG_CHUNK = 1 << 16
+CACHE_CHUNKS = 800_000
+#: Bytes beyond which the tiktoken library gets a text in parts.
+LONG_TEXT = 1 << 16
+
+_CUT, _BLANK, _WORD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_CUT[[10, 32, *b".,;:!?"]] = True
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def safe_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Chunk edges: the edges of the texts, and plain spaces that follow a visible character."""
-    at = np.flatnonzero(buf == 32)
+    """Chunk edges, at which no piece of any text is cut.
+
+    The edges of the texts; before a plain space or a line break that follows a
+    visible character; behind a single line break before a visible character;
+    and before ``.,;:!?`` behind a Latin letter or a digit.
+    """
+    n = len(buf)
+    cut = np.zeros(n + 1, bool)
+    at = np.flatnonzero(_CUT[buf])
     at = at[at > 0]
-    last = buf[at - 1]
-    visible = ~((last == 32) | ((last >= 9) & (last <= 13)) | ((last >= 0x1C) & (last <= 0x1F)))
-    # White space beyond ASCII is C2 xx, E1 9A 80, E2 8x xx or E3 80 80: no cut behind its lead bytes.
-    high = last >= 0x80
+    here, last = buf[at], buf[at - 1]
     two, three = buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
-    visible &= ~(high & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80))))
-    return np.unique(np.concatenate([at[visible], offsets]))
+    # White space beyond ASCII is C2 xx, E1 9A 80, E2 8x xx or E3 80 80: no cut behind its lead bytes.
+    odd = (last >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80)))
+    visible = ~_BLANK[last] & ~odd
+    letter = _WORD[last] | ((two == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    white = (here == 32) | (here == 10)
+    cut[at[white & visible]] = True
+    cut[at[~white & letter]] = True
+    line = at[(here == 10) & visible & (at + 1 < n)]
+    after = buf[line + 1]
+    cut[line[((after > 32) & (after < 127)) | ((after >= 0xC3) & (after <= 0xC5))] + 1] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class ChunkEncoder:
@@ -101,22 +120,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(maxsize=4)
-def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
-    """Encoder of a local rank file with the tiktoken library."""
-    import regex
-    import tiktoken
+class RankEncoder:
+    """The tiktoken library with a local rank file.
+
+    A text beyond ``LONG_TEXT`` bytes is encoded in parts that end at safe cuts;
+    where a part has none, its pieces are found by the pattern and encoded one
+    by one.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+        import tiktoken
 
-    encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    # In a rank file's pattern \s is Unicode White_Space, without the four ASCII separators that Python adds.
-    split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        # In a rank file's pattern \s is Unicode White_Space, without the four ASCII separators that Python adds.
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
-    def encode_many(chunks: list[str]) -> list[list[int]]:
-        if max(map(len, chunks), default=0) <= LONG_CHUNK:
-            return encoding.encode_ordinary_batch(chunks, num_threads=1)
-        return [encoding.encode_ordinary(c) if len(c) <= LONG_CHUNK else [i for m in split.finditer(c) for i in encoding._encode_single_piece(m[0])] for c in chunks]
+    def _parts(self, data: np.ndarray):
+        cuts = safe_cuts(data, np.array([0, len(data)]))
+        start = 0
+        while start < len(data):
+            end = int(cuts[np.searchsorted(cuts, min(start + LONG_TEXT, len(data)), side="right") - 1])
+            if end <= start:
+                end = int(cuts[np.searchsorted(cuts, start, side="right")])
+            yield data[start:end].tobytes().decode("utf-8")
+            start = end
 
-    return ChunkEncoder(encode_many)
+    def _one(self, text: str) -> np.ndarray:
+        if len(text) <= LONG_TEXT:
+            return self.encoding.encode_to_numpy(text, disallowed_special=())
+        return np.array([i for m in self.pieces.finditer(text) for i in self.encoding._encode_single_piece(m[0])], np.uint32)
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the texts' offsets in them."""
+        found, lengths = [], []
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            data = buf[lo:hi]
+            own = [self._one(part) for part in (self._parts(data) if hi - lo > LONG_TEXT else [data.tobytes().decode("utf-8")])]
+            found += own
+            lengths.append(sum(map(len, own)))
+        return np.concatenate(found).astype(np.uint32) if found else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+@lru_cache(maxsize=4)
+def rank_encoder(path: str, pattern: str) -> RankEncoder:
+    """Encoder of a local rank file, one for each Python worker."""
+    return RankEncoder(path, pattern)
 
 
 @lru_cache(maxsize=4)
