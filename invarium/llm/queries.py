@@ -14,6 +14,7 @@ from invarium.llm.packing import pack_documents
 from invarium.llm.quality_rules import fit_label_model, judged, measured
 from invarium.llm.shared import staged
 from invarium.llm.simhash import fingerprint, near_duplicates
+from invarium.llm.substring_dedup import dedup_substrings
 from invarium.llm.token_store import stored
 
 
@@ -63,12 +64,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("__n_removed_words").alias("n_removed_words"), F.col("__spans").alias("spans"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, least_chars=1)
     return lines.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op9_substring_dedup, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": """
 WITH l AS (
