@@ -11,6 +11,7 @@ from invarium.llm.language_model import score_documents
 from invarium.llm.line_dedup import dedup_lines
 from invarium.llm.neighbours import nearest
 from invarium.llm.packing import pack_documents
+from invarium.llm.quality_classifier import site_quality
 from invarium.llm.quality_rules import fit_label_model, judged, measured
 from invarium.llm.shared import staged
 from invarium.llm.simhash import fingerprint, near_duplicates
@@ -55,6 +56,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
 
@@ -74,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op7_language_model, op8_simhash, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op6_quality_classifier, op7_language_model, op8_simhash, op9_substring_dedup, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": """
 WITH l AS (
