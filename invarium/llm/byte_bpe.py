@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import binary_array, flat, list_array, slices
+from invarium.llm.shared import small_batches
 from invarium.llm.tokenizing import rank_bytes, rank_encoder
 
 
@@ -23,6 +24,7 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", t
     row is encoded again, an empty table gives an empty table; other columns
     play no part.  No shuffle.
     """
+    small_batches(docs.sparkSession)
     keys = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def encode(batches):

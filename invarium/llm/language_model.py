@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import LOWER, codes_of, flat, spans, word_spans
-from invarium.llm.shared import shuffle_partitions, staged
+from invarium.llm.shared import shuffle_partitions, small_batches, staged
 
 END, START = np.uint64(0x8C3B4E0F1D2A5967), np.uint64(0x51F0A9C37E6B2D84)
 #: Strength of the unigram prior.
@@ -163,6 +163,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     ``blocks``: how many; by default twice ``spark.sql.shuffle.partitions``, so
     that a block is half of what a shuffle task gets.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
     n_blocks = blocks or 2 * n_parts

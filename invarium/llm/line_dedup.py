@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import LOWER, SPACE, flat, line_spans, slices, spans
 from invarium.llm.bloom import PARTIAL, holds, partial, position, row_key, seen_twice
-from invarium.llm.shared import staged
+from invarium.llm.shared import small_batches, staged
 
 #: 2^27 bits: 16 MB for each Python worker.  More lines than that need more bits to keep suspects few.
 LOG2_BITS = 27
@@ -64,6 +64,7 @@ def _hashes(keys: pa.Array) -> np.ndarray:
 
 def repeated_lines(docs: DataFrame, min_docs: int, least_chars: int, keep_first: bool = False, key: str = "doc_id", text: str = "text", log2_bits: int = LOG2_BITS) -> DataFrame:
     """(row, lines): line numbers to drop, for the rows that have any; ``row`` is ``row_key(key, text)``."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
 

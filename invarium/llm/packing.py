@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import binary_array, flat, ranges, slices
+from invarium.llm.shared import small_batches
 from invarium.llm.tokenizing import file_encoder
 
 #: Bits of a sequence id below the bucket: partition (25) and number in the bucket there (33).
@@ -42,6 +43,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, log2_longest: i
     with sequences of its own, an empty table gives an empty table; other
     columns play no part.  One pass over the texts without a shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -49,7 +51,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, log2_longest: i
         encoder = file_encoder(tokenizer)
         base = TaskContext.get().partitionId() << PARTITION_SHIFT
         used = np.zeros(log2_longest + 1, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, offsets = encoder.encode(*flat(batch.column("text")))
             n = np.diff(offsets) + 1
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")

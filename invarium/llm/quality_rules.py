@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import SPACE, codes_of, flat, line_spans, slices, spans, word_spans
+from invarium.llm.shared import small_batches
 
 #: characters of ``n_symbols``
 SYMBOLS = "#*$%&|<>"
@@ -139,6 +140,7 @@ def measure_texts(texts) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` and the metrics of the whole ``text``; a metric replaces a kept column of its name."""
+    small_batches(docs.sparkSession)
     keep = [c for c in keep if c not in METRICS]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import flat, slices
 from invarium.llm.components import components
-from invarium.llm.shared import shuffle_partitions, staged
+from invarium.llm.shared import shuffle_partitions, small_batches, staged
 
 RADIUS = 2
 BANDS = 4
@@ -77,6 +77,7 @@ def _majority(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(key, fingerprint long): the signed 64 bits of each row's SimHash; a null or empty text has zero."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):

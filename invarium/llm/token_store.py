@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from invarium.llm.arrays import flat, slices
-from invarium.llm.shared import scratch_path, shuffle_partitions
+from invarium.llm.shared import scratch_path, shuffle_partitions, small_batches
 from invarium.llm.tokenizing import file_encoder
 
 WINDOW, ZERO_BITS, LEAST, MOST = 16, 9, 64, 4096
@@ -135,6 +135,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
     16 or 32, checked against the ids.  One shuffle moves each distinct chunk
     of a task once; texts are not shuffled.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

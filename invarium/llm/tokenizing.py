@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from invarium.llm.arrays import codes_of, gather, spans
 
-#: Chunks kept from batch to batch; the store starts anew beyond it.
-CACHE_CHUNKS = 800_000
+#: Chunks kept from batch to batch; beyond it, those of one batch alone are forgotten.
+CACHE_CHUNKS = 400_000
 #: Bytes beyond which the tiktoken library gets a text in parts.
 LONG_TEXT = 1 << 16
 
@@ -67,7 +67,33 @@ class ChunkEncoder:
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.length, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keep what more than one batch had, the most used half of the store at most."""
+        n = len(self.known)
+        uses = self.uses[:n]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > self.cache_chunks // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: self.cache_chunks // 2]])
+        names = list(self.known)
+        start, length, ids = self.start[keep], self.length[keep], self.ids
+        uses = uses[keep]
+        self._reset()
+        self._grow(len(keep), int(length.sum()))
+        m = len(keep)
+        self.length[:m], self.uses[:m] = length, uses // 2
+        self.start[:m] = np.cumsum(length) - length
+        self.used = int(length.sum())
+        self.ids[: self.used] = ids[gather(start, length)]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+
+    def _grow(self, chunks: int, ids: int) -> None:
+        if ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), ids - len(self.ids)), np.uint32)])
+        if chunks > len(self.start):
+            more = np.zeros(max(len(self.start), chunks - len(self.start)), np.int64)
+            self.start, self.length, self.uses = (np.concatenate([x, more]) for x in (self.start, self.length, self.uses))
 
     def _learn(self, chunks: list[bytes]) -> None:
         for lo in range(0, len(chunks), 20_000):
@@ -76,10 +102,7 @@ class ChunkEncoder:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             values = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
             n, m = len(self.known), len(part)
-            while self.used + len(values) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + m > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self._grow(n + m, self.used + len(values))
             self.ids[self.used : self.used + len(values)] = values
             self.start[n : n + m] = self.used + np.cumsum(lengths) - lengths
             self.length[n : n + m] = lengths
@@ -91,13 +114,15 @@ class ChunkEncoder:
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > self.cache_chunks:
-            self._reset()
+            self._forget()
         cuts = safe_cuts(buf, offsets)
         codes, distinct = codes_of(spans(buf, cuts[:-1], cuts[1:]))
         chunks = distinct.to_pylist()
         known = self.known
         self._learn([c for c in chunks if c not in known])
-        at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))[codes]
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[at] += 1
+        at = at[codes]
         lengths = self.length[at]
         ids = self.ids[gather(self.start[at], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
