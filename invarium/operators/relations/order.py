@@ -1,4 +1,10 @@
-"""Order of calls: A covers B, A leads to B."""
+"""Order of calls: A covers B, A leads to B.
+
+Both read one ordered pass over the pivot's calls and the other function's
+calls, for all pairs of functions at once: ``pairs`` is a small table of names
+(``first``, ``second``), joined by function name, and windows run by pair and
+thread.  No call is compared with every other.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +13,92 @@ from pyspark.sql import functions as F
 
 from invarium.schema import PT
 
+_CALL = ("func_call_id", "step", "stage", "start_ns", "end_ns")
+
 
-def cover_examples(calls: DataFrame, first: str, pivot: str, keys: tuple[str, ...] = PT) -> DataFrame:
-    """Each call of ``pivot``: did a whole call of ``first`` run since the pivot's last call.
+def _sides(calls: DataFrame, pairs: DataFrame, pivot: str, keys: tuple[str, ...], allowed: DataFrame | None):
+    """Calls of the pivot and whole calls of the other function, by pair.
 
-    One ordered pass: the latest start among the ``first`` calls that end by
-    the pivot's start lies behind the previous pivot's end.
+    ``allowed`` (first, second, func_call_id): pivots whose precondition holds;
+    only they count, also as the previous or next one.
     """
-    return _order_examples(calls, first, pivot, keys)
+    other = "first" if pivot == "second" else "second"
+    rows = calls.select(*keys, "function", *_CALL)
+    ours = rows.join(pairs, rows.function == pairs[pivot]).select(*keys, "first", "second", *_CALL)
+    if allowed is not None:
+        ours = ours.join(allowed.select("first", "second", "func_call_id"), ["first", "second", "func_call_id"], "left_semi").select(*keys, "first", "second", *_CALL)
+    theirs = rows.filter("end_ns IS NOT NULL").join(pairs, rows.function == pairs[other]).select(*keys, "first", "second", "start_ns", "end_ns")
+    return ours, theirs
+
 
+def _blank(df: DataFrame, like: DataFrame, columns: list[str]):
+    kinds = dict(like.dtypes)
+    return [F.lit(None).cast(kinds[c]).alias(c) for c in columns]
 
-def _order_examples(calls: DataFrame, first: str, pivot: str, keys: tuple[str, ...]) -> DataFrame:
-    b = calls.filter(F.col("function") == pivot)
-    w = Window.partitionBy(*keys).orderBy("start_ns", "func_call_id")
-    b = b.select(*keys, "func_call_id", "start_ns", "end_ns", "step", "stage", F.lag("end_ns").over(w).alias("previous_end"))
-    a = calls.filter(F.col("function") == first).filter("end_ns IS NOT NULL")
-    marks = b.select(*keys, F.col("start_ns").alias("at"), F.lit(1).alias("is_b"), F.lit(None).cast("long").alias("a_start"), "func_call_id", "step", "stage", "start_ns", "previous_end")
-    ends = a.select(*keys, F.col("end_ns").alias("at"), F.lit(0).alias("is_b"), F.col("start_ns").alias("a_start"), *[F.lit(None).cast(k).alias(c) for c, k in (("func_call_id", "string"), ("step", "bigint"), ("stage", "string"), ("start_ns", "bigint"), ("previous_end", "bigint"))])
-    line = Window.partitionBy(*keys).orderBy("at", "is_b").rowsBetween(Window.unboundedPreceding, 0)
-    seen = marks.unionByName(ends).withColumn("latest", F.max("a_start").over(line)).filter("is_b = 1")
-    positive = F.coalesce(F.col("latest") > F.col("previous_end"), F.col("latest").isNotNull() & F.col("previous_end").isNull())
-    return seen.select(*keys, "func_call_id", "step", "stage", "start_ns", "previous_end", positive.alias("positive"))
+
+def cover_examples(calls: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = PT, allowed: DataFrame | None = None) -> DataFrame:
+    """Each call of ``second``: did a whole call of ``first`` run since the previous one.
+
+    The latest start among the ``first`` calls that end by the pivot's start
+    lies behind the previous pivot's end.
+    """
+    group = [*keys, "first", "second"]
+    b, a = _sides(calls, pairs, "second", keys, allowed)
+    b = b.withColumn("previous_end", F.lag("end_ns").over(Window.partitionBy(*group).orderBy("start_ns", "func_call_id")))
+    own = [*_CALL, "previous_end"]
+    marks = b.select(*group, F.col("start_ns").alias("at"), F.lit(1).alias("pivot"), F.lit(None).cast("long").alias("a_start"), *own)
+    ends = a.select(*group, F.col("end_ns").alias("at"), F.lit(0).alias("pivot"), F.col("start_ns").alias("a_start"), *_blank(a, b, own))
+    line = Window.partitionBy(*group).orderBy("at", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.unionByName(ends).withColumn("latest", F.max("a_start").over(line)).filter("pivot = 1")
+    positive = F.when(F.col("previous_end").isNull(), F.col("latest").isNotNull()).otherwise(F.coalesce(F.col("latest") > F.col("previous_end"), F.lit(False)))
+    return seen.select(*group, *_CALL, "previous_end", positive.alias("positive"))
 
 
-def lead_examples(calls: DataFrame, pivot: str, second: str, keys: tuple[str, ...] = PT) -> DataFrame:
-    """Each call of ``pivot`` but a thread's last: did a whole call of ``second`` run before the pivot's next call.
+def lead_examples(calls: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = PT, allowed: DataFrame | None = None) -> DataFrame:
+    """Each call of ``first`` but a thread's last: did a whole call of ``second`` run before the next one.
 
     A thread's only call is positive if some ``second`` ends no earlier than it does.
     """
-    a = calls.filter(F.col("function") == pivot)
-    w = Window.partitionBy(*keys).orderBy("start_ns", "func_call_id")
-    a = a.select(*keys, "func_call_id", "start_ns", "end_ns", "step", "stage", F.lead("start_ns").over(w).alias("next_start"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    b = calls.filter(F.col("function") == second).filter("end_ns IS NOT NULL")
-    marks = a.select(*keys, F.col("end_ns").alias("at"), F.lit(1).alias("is_a"), F.lit(None).cast("long").alias("b_end"), "func_call_id", "step", "stage", "start_ns", "end_ns", "next_start", "n")
-    starts = b.select(*keys, F.col("start_ns").alias("at"), F.lit(0).alias("is_a"), F.col("end_ns").alias("b_end"), *[F.lit(None).cast(k).alias(c) for c, k in (("func_call_id", "string"), ("step", "bigint"), ("stage", "string"), ("start_ns", "bigint"), ("end_ns", "bigint"), ("next_start", "bigint"), ("n", "bigint"))])
-    line = Window.partitionBy(*keys).orderBy(F.desc("at"), "is_a").rowsBetween(Window.unboundedPreceding, 0)
-    # Going back in time, starts equal to the pivot's end come before it and must not count.
-    line = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("is_a")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = marks.unionByName(starts).withColumn("earliest", F.min("b_end").over(line)).filter("is_a = 1")
-    last_b = b.groupBy(*keys).agg(F.max("end_ns").alias("last_b"))
-    seen = seen.join(last_b, list(keys), "left")
-    single = F.coalesce(F.col("last_b") >= F.col("end_ns"), F.lit(False))
-    positive = F.when(F.col("n") == 1, single).otherwise(F.coalesce(F.col("earliest") <= F.col("next_start"), F.lit(False)))
-    return seen.filter("n = 1 OR next_start IS NOT NULL").select(*keys, "func_call_id", "step", "stage", "start_ns", "next_start", positive.alias("positive"))
+    group = [*keys, "first", "second"]
+    a, b = _sides(calls, pairs, "first", keys, allowed)
+    w = Window.partitionBy(*group)
+    a = a.withColumn("next_start", F.lead("start_ns").over(w.orderBy("start_ns", "func_call_id"))).withColumn("n", F.count("*").over(w))
+    own = [*_CALL, "next_start", "n"]
+    marks = a.select(*group, F.col("end_ns").alias("at"), F.lit(1).alias("pivot"), F.lit(None).cast("long").alias("b_end"), *own)
+    starts = b.select(*group, F.col("start_ns").alias("at"), F.lit(0).alias("pivot"), F.col("end_ns").alias("b_end"), *_blank(b, a, own))
+    # Backwards in time; a start at the pivot's own end comes after it and does not count.
+    line = Window.partitionBy(*group).orderBy(F.desc("at"), F.desc("pivot")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.unionByName(starts).withColumn("earliest", F.min("b_end").over(line)).filter("pivot = 1")
+    last = b.groupBy(*group).agg(F.max("end_ns").alias("last_b"))
+    seen = seen.join(last, group, "left").filter("n = 1 OR next_start IS NOT NULL")
+    positive = F.when(F.col("n") == 1, F.col("last_b") >= F.col("end_ns")).otherwise(F.col("earliest") <= F.col("next_start"))
+    return seen.select(*group, *_CALL, "next_start", F.coalesce(positive, F.lit(False)).alias("positive"))
+
+
+def same_level_pairs(levels: DataFrame, pool: DataFrame) -> DataFrame:
+    """(first, second) of pool functions that are on one level in some thread."""
+    a, b = pool.select(F.col("function").alias("func_a")), pool.select(F.col("function").alias("func_b"))
+    found = levels.filter("same_level").select("func_a", "func_b").distinct()
+    return found.join(a, "func_a", "left_semi").join(b, "func_b", "left_semi").select(F.col("func_a").alias("first"), F.col("func_b").alias("second"))
+
+
+def merged_chains(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """Maximal chains of an order relation over function names, each earlier name related to the next.
+
+    ``edges`` are names of functions, not calls.  Chains start where nothing
+    leads in; a name that leads back into its own chain ends it.
+    """
+    after: dict[str, list[str]] = {}
+    for a, b in sorted(set(edges)):
+        after.setdefault(a, []).append(b)
+    entered = {b for _, b in edges}
+    starts = [a for a in sorted(after) if a not in entered] or sorted(after)[:1]
+    chains, work = [], [[s] for s in reversed(starts)]
+    while work:
+        chain = work.pop()
+        onward = [b for b in after.get(chain[-1], []) if b not in chain]
+        if onward:
+            work += [[*chain, b] for b in reversed(onward)]
+        else:
+            chains.append(chain)
+    return chains

@@ -34,9 +34,10 @@ def state_pairs(states: DataFrame, keys: list[str], inference: bool = True) -> D
 
 def consistency(pairs: DataFrame) -> DataFrame:
     """Type-level hypotheses: (type, attr) pairs with at least two equal pairs of states."""
-    a, b = F.struct("a_type", "a_attr"), F.struct("b_type", "b_attr")
+    side = lambda x: F.struct(F.col(f"{x}_type").alias("type"), F.col(f"{x}_attr").alias("attr"))
+    a, b = side("a"), side("b")
     both = pairs.withColumn("__lo", F.least(a, b)).withColumn("__hi", F.greatest(a, b))
-    out = both.groupBy(F.col("__lo.a_type").alias("type_1"), F.col("__lo.a_attr").alias("attr_1"), F.col("__hi.a_type").alias("type_2"), F.col("__hi.a_attr").alias("attr_2"))
+    out = both.groupBy(F.col("__lo.type").alias("type_1"), F.col("__lo.attr").alias("attr_1"), F.col("__hi.type").alias("type_2"), F.col("__hi.attr").alias("attr_2"))
     return out.agg(F.count_if("positive").alias("n_positive"), F.count_if(~F.col("positive")).alias("n_negative")).filter(F.col("n_positive") >= LEAST_PAIRS)
 
 
