@@ -19,11 +19,17 @@ def stream_of(records: DataFrame, parts: int = 4) -> DataFrame:
     spark = records.sparkSession
     path = scratch(spark, "segments")
     rows = records.filter("func_call_id IS NOT NULL").drop("meta_vars", "attributes", "proxy_obj_names")
-    end = rows.agg(F.max("time_ns").alias("t")).first().t or 0
-    mark = rows.limit(1).withColumn("time_ns", F.lit(end + 86_400_000_000_000).cast("long")).withColumn("thread_id", F.lit(-1).cast("long")).withColumn("func_call_id", F.lit("end")).withColumn("function", F.lit("end")).withColumn("type", F.lit(PRE))
-    rows.repartitionByRange(parts, "time_ns").sortWithinPartitions("time_ns").write.parquet(f"{path}/a")
-    mark.coalesce(1).write.parquet(f"{path}/b")
-    mark.withColumn("time_ns", F.col("time_ns") + 1).coalesce(1).write.parquet(f"{path}/c")
+    cuts = rows.agg(F.percentile_approx("time_ns", [k / parts for k in range(1, parts)]).alias("c"), F.max("time_ns").alias("t")).first()
+    end, cuts = cuts.t or 0, cuts.c or []
+    lower = None
+    for k, upper in enumerate([*cuts, None]):  # one after the other: the source takes files by age
+        own = rows if lower is None else rows.filter(F.col("time_ns") > lower)
+        own = own if upper is None else own.filter(F.col("time_ns") <= upper)
+        own.coalesce(1).write.parquet(f"{path}/{k}")
+        lower = upper
+    mark = rows.limit(1).withColumn("thread_id", F.lit(-1).cast("long")).withColumn("func_call_id", F.lit("end")).withColumn("function", F.lit("end")).withColumn("type", F.lit(PRE))
+    for k in (1, 2):
+        mark.withColumn("time_ns", F.lit(end + (10 + k) * 86_400_000_000_000).cast("long")).coalesce(1).write.parquet(f"{path}/end{k}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
 
 

@@ -88,7 +88,7 @@ class Thread:
                     latest, before = m.get("latest"), m.get("end")
                     if latest is None or (before is not None and latest <= before) or (before is None and m.get("seen")):
                         yield inv, call, step, time
-                    m["seen"], m["end"] = True, None
+                    m["seen"], m["end"], m["call"] = True, None, call
                 elif relation == "lead" and function == first:
                     if m.get("call") is not None and not m.get("met"):
                         yield inv, m["call"], m["step"], m["time"]
@@ -106,7 +106,7 @@ class Thread:
             if relation == "cover":
                 if function == first and began > (m.get("latest") if m.get("latest") is not None else -1):
                     m["latest"] = began
-                if function == second:
+                if function == second and m.get("call") == call:
                     m["end"] = time
             elif relation == "lead":
                 if function == first and m.get("call") == call:
