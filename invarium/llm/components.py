@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     pre-aggregated.  Nothing reaches the driver but the count of changes.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = staged(links.union(links.select("b", "a")), "links")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = staged(links.distinct().select(ways.alias("l")).select("l.a", "l.b"), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("heard"))

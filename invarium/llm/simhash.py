@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import flat, slices
 from invarium.llm.components import components
-from invarium.llm.shared import shuffle_partitions, small_batches, staged
+from invarium.llm.shared import small_batches, staged
+from invarium.llm.tokenizing import release
 
 RADIUS = 2
 BANDS = 4
@@ -81,6 +82,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
+        release()
         for batch in slices(batches, "text", 2 << 20):
             found = fingerprints_of(batch.column("text"), shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
@@ -220,15 +222,13 @@ def _link_groups(batches):
 
 def near_links(distinct: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): links between the distinct fingerprints (column ``fingerprint``) that keep all components."""
-    spark = distinct.sparkSession
     f = F.col("fingerprint")
     band = [F.shiftrightunsigned(f, WIDTH * k).bitwiseAND((1 << WIDTH) - 1) for k in range(BANDS)]
     keys = F.array(*[F.shiftleft(F.lit(n).cast("long"), 2 * WIDTH).bitwiseOR(F.shiftleft(band[i], WIDTH)).bitwiseOR(band[j]) for n, (i, j) in enumerate(PAIRS)])
     rows = distinct.select(F.explode(keys).alias("bucket"), "fingerprint")
     large = staged(rows.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket"), "large-buckets")
     normal = rows.join(large, "bucket", "left_anti")
-    n = shuffle_partitions(spark)
-    links = normal.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link_groups, "a long, b long")
+    links = normal.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_groups, "a long, b long")
     masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
     masked = (
         rows.join(large, "bucket", "left_semi").select("fingerprint").distinct()
