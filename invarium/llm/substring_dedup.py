@@ -1,8 +1,8 @@
 """Substring dedup by paragraph MinHash banding (operator 9).
 
 A paragraph is what stands between two content-defined edges: line breaks, ends
-of sentences of five words or more, and one in 64 word pairs (so that text
-without punctuation is cut too).  The same passage hence falls into the same
+of sentences of five words or more, and in sentences beyond 40 words one in 12
+word pairs (so that text without punctuation is cut too).  The same passage hence falls into the same
 paragraphs wherever it is quoted, but for its first and last.
 
 Bands: the whole paragraph (equal paragraphs collide surely) and one minimum
@@ -32,8 +32,11 @@ from invarium.llm.arrays import LOWER, codes_of, flat, spans, word_spans
 from invarium.llm.blocks import bucketed, edges_of, pack, pack_ascending, unpack, unpack_ascending
 from invarium.llm.components import components
 from invarium.llm.shared import shuffle_partitions, small_batches, staged
+from invarium.llm.tokenizing import release
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 3
+#: Sentences of more words are cut at one in ``ANCHOR`` word pairs.
+LONG_SENTENCE, ANCHOR = 40, 12
 #: Words that a run of repeated paragraphs needs to be removed.
 MIN_WORDS = 25
 _NONE = np.int64((1 << 63) - 1)
@@ -69,9 +72,10 @@ class Paragraphs:
             long = at - line_before >= SHINGLE
             edge = last.copy()
             edge[at[long]] = True
+            length = np.repeat(at - line_before, at - line_before)
             with np.errstate(over="ignore"):
                 pair = _mixed(self.words[1:] * _A + self.words[:-1])
-            edge[1:] |= (pair & np.uint64(63)) == 0
+            edge[1:] |= (length[1:] > LONG_SENTENCE) & (pair % np.uint64(ANCHOR) == 0)
         else:
             edge = last
         self.hi = np.flatnonzero(edge) + 1
@@ -168,6 +172,7 @@ def sent(blocks: DataFrame, parts: int) -> DataFrame:
     """Each block's distinct paragraphs and minima, packed by hash range."""
 
     def send(table):
+        release()
         block, rows = table.column("block")[0].as_py(), []
         p, ids = Paragraphs(table.column("text")), _ids(table.column("doc_id"))
         at, document, number, more = _exact_keys(p, ids)
