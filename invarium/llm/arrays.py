@@ -95,14 +95,17 @@ def codes_of(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def ranges(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of ``lengths``, one after the other."""
-    total = int(lengths.sum())
-    out = np.arange(total, dtype=np.int64)
-    return out - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return gather(np.zeros(len(lengths), np.int64), lengths)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of the ranges [start, start + length), one after the other."""
-    return np.repeat(starts, lengths) + ranges(lengths)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    shift = starts - (ends - lengths)
+    small = total < 1 << 31 and (not len(starts) or int(starts.max()) + int(lengths.max()) < 1 << 31)
+    kind = np.int32 if small else np.int64
+    return np.repeat(shift.astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -22,6 +22,7 @@ chunks wherever they stand.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,17 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
 def _shifts() -> np.ndarray:
-    """x^(32 n) for each chunk length n."""
-    one = np.array([1 << 31], np.uint32)
-    word = one
+    """x^(32 n) for each chunk length n, by doubling."""
+    table = np.array([1 << 31], np.uint32)
+    step = table
     for _ in range(32):
-        word = (word >> np.uint32(1)) ^ np.where(word & np.uint32(1), _CRC_POLY, np.uint32(0))
-    table = [one]
-    for _ in range(MOST):
-        table.append(_times(word, table[-1]))
-    return np.concatenate(table)
+        step = (step >> np.uint32(1)) ^ np.where(step & np.uint32(1), _CRC_POLY, np.uint32(0))
+    while len(table) <= MOST:
+        table = np.concatenate([table, _times(np.broadcast_to(step, table.shape), table)])
+        step = _times(step, step)
+    return table[: MOST + 1]
 
 
 def joined_crc32(crcs: np.ndarray, lens: np.ndarray, offsets: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
                 )
 
     schema = f"kind int, key binary, doc_id {kind}, n_tokens long, root binary, hashes array<binary>, lens array<int>, payload binary"
-    encoded = rows.mapInArrow(encode, schema).dropDuplicates(["kind", "key"])
+    encoded = rows.mapInArrow(encode, schema).repartition("kind", "key").dropDuplicates(["kind", "key"])
     encoded.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
 
     whole = T._parse_datatype_string(schema)

@@ -10,6 +10,7 @@ gathered with NumPy.
 from __future__ import annotations
 
 import base64
+import gc
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -17,10 +18,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from invarium.llm.arrays import codes_of, gather, spans
+from invarium.llm.arrays import LOWER, codes_of, gather, spans
 
 #: Chunks kept from batch to batch; beyond it, those of one batch alone are forgotten.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 #: Bytes beyond which the tiktoken library gets a text in parts.
 LONG_TEXT = 1 << 16
 
@@ -58,10 +59,13 @@ def safe_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """``encode_many`` maps distinct chunks (str) to their ids; ``encode`` applies it to a batch of texts."""
+    """``encode_many`` maps distinct chunks (str) to all their ids and how many each has; ``encode`` applies it to a batch of texts.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], cache_chunks: int = CACHE_CHUNKS):
-        self.encode_many, self.cache_chunks = encode_many, cache_chunks
+    ``fold``: A-Z and a-z have the same ids.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cache_chunks: int = CACHE_CHUNKS, fold: bool = False):
+        self.encode_many, self.cache_chunks, self.fold = encode_many, cache_chunks, fold
         self._reset()
 
     def _reset(self) -> None:
@@ -98,9 +102,7 @@ class ChunkEncoder:
     def _learn(self, chunks: list[bytes]) -> None:
         for lo in range(0, len(chunks), 20_000):
             part = chunks[lo : lo + 20_000]
-            found = self.encode_many([c.decode("utf-8") for c in part])
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            values = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+            values, lengths = self.encode_many([c.decode("utf-8") for c in part])
             n, m = len(self.known), len(part)
             self._grow(n + m, self.used + len(values))
             self.ids[self.used : self.used + len(values)] = values
@@ -115,6 +117,8 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > self.cache_chunks:
             self._forget()
+        if self.fold:
+            buf = LOWER[buf]
         cuts = safe_cuts(buf, offsets)
         codes, distinct = codes_of(spans(buf, cuts[:-1], cuts[1:]))
         chunks = distinct.to_pylist()
@@ -137,7 +141,59 @@ def file_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings are ordinary text
-    return ChunkEncoder(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+    def encode_batch(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    # Where a vocabulary makes no difference between A-Z and a-z, chunks that differ in it are one.
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    samples = [letters, *letters, *(f"x{c}y" for c in letters)]
+    fold = encode_batch(samples) == encode_batch([x.lower() for x in samples])
+    return ChunkEncoder(JoinedChunks(encode_batch), fold=fold)
+
+
+class JoinedChunks:
+    """Encode many short chunks in few calls.
+
+    Chunks that begin with a space and end with a letter are joined by a control
+    character: between a letter and a space it is a piece of its own with an id
+    of its own, at which the ids fall apart again.  Other chunks are encoded one
+    by one, as are all where the vocabulary has no such id.
+    """
+
+    MARK, GROUP = "\x01", 400
+
+    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]]):
+        self.encode_batch = encode_batch
+        alone, word, joined = encode_batch(["a" + self.MARK, " word", f" word{self.MARK} word{self.MARK} word"])
+        mark = encode_batch(["a"])[0]
+        mark = alone[len(mark) :] if alone[: len(mark)] == mark else []
+        self.mark = mark[0] if len(mark) == 1 and joined == word + mark + word + mark + word and mark[0] not in word else None
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.mark is None:
+            return self._each(chunks)
+        fits = np.fromiter((c[0] == " " and c[-1].isalpha() and self.MARK not in c for c in chunks), bool, len(chunks))
+        joinable, others = np.flatnonzero(fits), np.flatnonzero(~fits)
+        own = [chunks[i] for i in joinable]
+        parts = [np.array(ids, np.uint32) for ids in self.encode_batch([self.MARK.join(own[k : k + self.GROUP]) for k in range(0, len(own), self.GROUP)])]
+        flat = np.concatenate([x for p in parts for x in (p, [np.uint32(self.mark)])]).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.mark)
+        if len(ends) != len(own):
+            raise ValueError("a chunk holds the id of the mark")
+        values, each = self._each([chunks[i] for i in others])
+        lengths = np.zeros(len(chunks), np.int64)
+        lengths[joinable] = np.diff(ends, prepend=-1) - 1
+        lengths[others] = each
+        out, starts = np.zeros(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
+        out[gather(starts[joinable], lengths[joinable])] = flat[flat != self.mark]
+        out[gather(starts[others], lengths[others])] = values
+        return out, lengths
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode_batch(chunks) if chunks else []
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -201,3 +257,13 @@ def rank_bytes(path: str) -> pa.Array:
     for token, rank in ranks.items():
         table[rank] = token
     return pa.array(table, pa.large_binary())
+
+
+def release() -> None:
+    """Give back what vocabularies of an earlier stage hold in this Python worker, which stages share."""
+    held = [f for f in (file_encoder, rank_encoder, rank_bytes) if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
