@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import LOWER, codes_of, flat, spans, word_spans
 from invarium.llm.shared import shuffle_partitions, small_batches, staged
+from invarium.llm.tokenizing import release
 
 END, START = np.uint64(0x8C3B4E0F1D2A5967), np.uint64(0x51F0A9C37E6B2D84)
 #: Strength of the unigram prior.
@@ -89,6 +90,7 @@ def counted(blocks: DataFrame, parts: int) -> DataFrame:
     """(kind, part, block, hashes, counts): distinct n-grams of each block, by kind (1: tokens, 2: pairs) and hash range."""
 
     def count(table):
+        release()
         block = table.column("block")[0].as_py()
         found = tokens_of(table.column("text"))
         weight = np.repeat(np.array(table.column("trains").to_pylist(), float), np.diff(found.first))

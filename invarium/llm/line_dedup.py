@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from invarium.llm.arrays import LOWER, SPACE, flat, line_spans, slices, spans
 from invarium.llm.bloom import PARTIAL, holds, partial, position, row_key, seen_twice
 from invarium.llm.shared import small_batches, staged
+from invarium.llm.tokenizing import release
 
 #: 2^27 bits: 16 MB for each Python worker.  More lines than that need more bits to keep suspects few.
 LOG2_BITS = 27
@@ -69,6 +70,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, least_chars: int, keep_first:
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def fill(batches):
+        release()
         found = []
         for batch in slices(batches, "__text", 4 << 20):
             t, _, keys = line_keys(batch.column("__text"), least_chars)
@@ -80,6 +82,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, least_chars: int, keep_first:
     bits = spark.sparkContext.broadcast(seen_twice(rows.select("__text").mapInArrow(fill, PARTIAL), log2_bits))
 
     def suspect(batches):
+        release()
         table = bits.value
         for batch in slices(batches, "__text", 4 << 20):
             t, number, keys = line_keys(batch.column("__text"), least_chars)

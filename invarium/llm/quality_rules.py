@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import SPACE, codes_of, flat, line_spans, slices, spans, word_spans
 from invarium.llm.shared import small_batches
+from invarium.llm.tokenizing import release
 
 #: characters of ``n_symbols``
 SYMBOLS = "#*$%&|<>"
@@ -145,6 +146,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
 
     def measure(batches):
+        release()
         for batch in slices(batches, "__text", 4 << 20):
             found = measure_texts(batch.column("__text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[m].astype(np.int64)) for m in METRICS)], [*keep, *METRICS])
