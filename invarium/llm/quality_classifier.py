@@ -97,7 +97,11 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     measures = staged(measured(rows, ["doc_id", "host", "path"]), "measures")
     known = labels.filter(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y"))
     features = F.array(*[F.expr(f) for f in FEATURES]).alias("x")
-    fitted = measures.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(features, "y").collect()
+    labelled = measures.join(known, "doc_id")
+    # a share by hash that is sure to be near the bound, so that no task sends more than its part of the sample
+    share = min(1.0, 1.05 * sample / max(1, known.count()))
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    fitted = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(features, "y").collect()
     model = fit_logistic(np.array([r.x for r in fitted], float).reshape(-1, len(FEATURES)), np.array([r.y for r in fitted], float))
 
     p = F.least(F.greatest(1 / (1 + F.exp(-model.log_odds())), F.lit(1e-6)), F.lit(1 - 1e-6))
