@@ -115,6 +115,15 @@ class ChunkEncoder:
         """Ids of all texts one after the other, and the texts' offsets in them."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of short lists, none of them in a cycle
+        try:
+            return self._encode(buf, offsets)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.cache_chunks:
             self._forget()
         if self.fold:
