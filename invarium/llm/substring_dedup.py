@@ -1,8 +1,8 @@
 """Substring dedup by paragraph MinHash banding (operator 9).
 
 A paragraph is what stands between two content-defined edges: line breaks, ends
-of sentences of five words or more, and in sentences beyond 40 words one in 12
-word pairs (so that text without punctuation is cut too).  The same passage hence falls into the same
+of sentences of five words or more, one in 20 word pairs, and in sentences
+beyond 40 words one in 12 (so that text without punctuation is cut too).  The same passage hence falls into the same
 paragraphs wherever it is quoted, but for its first and last.
 
 Bands: the whole paragraph (equal paragraphs collide surely) and one minimum
@@ -35,10 +35,10 @@ from invarium.llm.shared import shuffle_partitions, small_batches, staged
 from invarium.llm.tokenizing import release
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 3
-#: Sentences of more words are cut at one in ``ANCHOR`` word pairs.
-LONG_SENTENCE, ANCHOR = 40, 12
+#: One in ``ANCHOR`` word pairs is an edge, in sentences beyond ``LONG_SENTENCE`` words one in ``LONG_ANCHOR``.
+ANCHOR, LONG_SENTENCE, LONG_ANCHOR = 20, 40, 12
 #: Words that a run of repeated paragraphs needs to be removed.
-MIN_WORDS = 25
+MIN_WORDS = 20
 _NONE = np.int64((1 << 63) - 1)
 _A = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -75,7 +75,7 @@ class Paragraphs:
             length = np.repeat(at - line_before, at - line_before)
             with np.errstate(over="ignore"):
                 pair = _mixed(self.words[1:] * _A + self.words[:-1])
-            edge[1:] |= (length[1:] > LONG_SENTENCE) & (pair % np.uint64(ANCHOR) == 0)
+            edge[1:] |= (pair % np.uint64(ANCHOR) == 0) | ((length[1:] > LONG_SENTENCE) & (pair % np.uint64(LONG_ANCHOR) == 0))
         else:
             edge = last
         self.hi = np.flatnonzero(edge) + 1

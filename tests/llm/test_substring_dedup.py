@@ -93,11 +93,13 @@ def test_passages(spark):
 
 def test_near_paragraphs(spark):
     rng = random.Random(3)
-    words = [f"w{rng.randint(0, 10**6)}" for _ in range(38)]
-    base = " ".join(words) + "."
+    while True:
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(38)]
+        base = " ".join(words) + "."
+        if len(S.Paragraphs(pa.array([base])).lo) == 1:  # no anchor inside
+            break
     near = " ".join(words[:-1] + ["other"]) + "."  # all shingles but one
     far = " ".join(w if k % 7 else "x" for k, w in enumerate(words)) + "."
-    assert len(S.Paragraphs(pa.array([base])).lo) == 1
     docs = spark.createDataFrame([(1, base), (2, near), (3, far), (4, "lead. " + near)], "doc_id long, text string")
     got = {r.doc_id: r["__n_removed_words"] for r in dedup_substrings(docs).collect()}
     assert got == {1: 0, 2: 38, 3: 0, 4: 0} or got == {1: 0, 2: 38, 3: 0, 4: 39}
