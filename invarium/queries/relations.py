@@ -116,7 +116,7 @@ SELECT function, in_path, 'out.int' AS out_path, k::BIGINT AS n_positive, (n - k
 )
 def in_out(spark, sf_dir):
     c = _in_out(spark, sf_dir)
-    return A.input_output(A.value_paths(c, "args_json", "in"), A.value_paths(c, "return_json", "out"))
+    return A.input_output(A.value_paths(c, "args_json", "in", depth=3), A.value_paths(c, "return_json", "out", depth=2))
 
 
 def _order_sql(labels: str) -> str:
