@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import flat, slices
 from invarium.llm.components import components
+from invarium.llm.jaccard import jaccard_links, shingle_sets
 from invarium.llm.shared import small_batches, staged
 from invarium.llm.tokenizing import release
 
@@ -239,8 +240,8 @@ def near_links(distinct: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     return links.union(groups.select("a", F.explode("all").alias("b")).filter("a <> b"))
 
 
-def near_duplicates(fingerprints: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of rows (doc_id, fingerprint).
+def near_duplicates(fingerprints: DataFrame, links=near_links) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of rows (doc_id, fingerprint); ``links`` joins distinct fingerprints.
 
     ``component_id`` is the smallest doc_id that the row reaches over links,
     its own group of equal fingerprints included; null ids are in no case the
@@ -249,7 +250,7 @@ def near_duplicates(fingerprints: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints, "fingerprints")
     groups = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    parts = components(near_links(groups.select("fingerprint")))
+    parts = components(links(groups.select("fingerprint")))
     placed = groups.join(parts, groups.fingerprint == parts.node, "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
     placed = staged(placed, "placed")
     least = staged(placed.groupBy("component").agg(F.min("first").alias("component_id")), "least")
@@ -257,13 +258,16 @@ def near_duplicates(fingerprints: DataFrame) -> DataFrame:
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the smallest id.
 
-    Rows that share an id are one document and stay or go together; rows
-    without an id cannot be named by a decision and stay.  Texts without a word
-    are one group.  An empty table gives an empty table.
+    Near-duplicates have an exact Jaccard similarity of ``least`` or more over
+    the sets of their ``shingle``-word shingles.  Rows that share an id are one
+    document and stay or go together; rows without an id cannot be named by a
+    decision and stay.  Texts without a word are one group.  An empty table
+    gives an empty table.
     """
-    found = near_duplicates(fingerprint(docs, key, text)).filter("doc_id <> component_id")
+    sets = staged(shingle_sets(docs, key, text, shingle), "shingle-sets")
+    found = near_duplicates(sets.select("doc_id", "fingerprint"), lambda _: jaccard_links(sets, least)).filter("doc_id <> component_id")
     gone = staged(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
