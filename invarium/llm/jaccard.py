@@ -1,18 +1,20 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-No radius of a 64-bit fingerprint holds all pairs of a given Jaccard similarity
-(at 0.8 the differing bits scatter around ten), so candidates come from a prefix
-filter, which is complete: under any one order of all shingles, sets of
-similarity ``least`` share one of their first ``n - ceil(least n) + 1`` members
-and differ in size by no more than that factor.  The order puts shingles that a
-sample of documents repeats last, so that quoted passages bring few together;
-it decides the work alone, never the result.
-
-Sets that share a prefix member are compared by parities first: the members of
-a set are counted modulo 2 in ``BITS`` cells, and each differing cell takes a
-member that only one of the two sets has, of which a pair of similarity
-``least`` has ``(1 - least) / (1 + least)`` of the sum of their sizes at most.
-What this cannot exclude is verified exactly with the whole sets.
+No radius of a 64-bit SimHash names all pairs of a given Jaccard similarity and
+no others (at 0.8 the differing bits scatter around ten), so SimHash sieves and
+whole sets decide.
+
+Sets meet by a prefix filter, which is complete: under any one order of all
+shingles, sets of similarity ``least`` share one of their first ``n -
+ceil(least n) + 1`` members and differ in size by no more than that factor.  The
+order puts shingles that a sample of documents repeats last, so that quoted
+passages bring few together; it decides the work alone, never the result.
+
+Sets that meet are compared bit-sliced by their SimHashes at a radius of
+``SIEVE`` bits.  At similarity 0.8 a bit differs with probability 0.152, so that
+a pair is lost with probability 1.5e-7; sets of fewer than ``LEAST_SIEVED``
+shingles, where bits are less sure, pass unsieved.  What passes is verified with
+the whole sets.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import LOWER, codes_of, flat, gather, slices, spans, word_spans
+from invarium.llm.bit_slices import SMALL, clustered, least_labels, majority, pairs_small
+from invarium.llm.components import components
 from invarium.llm.shared import small_batches, staged
-from invarium.llm.substring_dedup import _A, _mixed, similar_pairs
+from invarium.llm.substring_dedup import _A, _mixed
 from invarium.llm.tokenizing import release
 
 #: Documents of the sample, occurrences there that make a shingle frequent, and how many of these are told to all tasks.
 SAMPLE, FREQUENT, TOLD = 20_000, 4, 1 << 16
-#: Cells of the parities of a set.
-BITS = 512
+#: Differing bits of SimHashes that pass, and sets too small to be sieved.
+SIEVE, LEAST_SIEVED = 26, 64
+#: Rows of one shingle, and members of all sets of a group, that one task holds.
+CHUNK_ROWS, UNIT_SIZE = 1 << 17, 1 << 21
 
 
 def sets_of(texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,45 +70,44 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return _mixed(totals[offsets[1:]] - totals[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _A)
 
 
-def _parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The members of each range counted modulo 2 in ``BITS`` cells, as words of 64 cells."""
-    n = len(offsets) - 1
-    cell = np.repeat(np.arange(n), np.diff(offsets)) * BITS + (values % np.uint64(BITS)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * BITS) & 1).astype(bool)
-    return np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view("<u8")
+def _simhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each range of ``values``."""
+    counts = np.diff(offsets)
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        out[full] = majority(values, offsets[:-1][full], counts[full])
+    return out
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, fingerprint, size, parities, shingles): each row's shingle set as sorted 64-bit hashes, named by a hash of the set."""
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"))
+
+
+def set_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(doc_id, row, fingerprint, size) of each row: hashes that name its text and its shingle set, and the set's size."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = _rows(docs, key, text)
 
     def run(batches):
         release()
         for batch in slices(batches, "text", 2 << 20):
             hashes, offsets = sets_of(batch.column("text"), shingle)
-            packed = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-            parities = pa.array([x.tobytes() for x in _parities(hashes, offsets)], pa.binary())
-            columns = [batch.column("doc_id"), pa.array(_sums(hashes, offsets).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), parities, packed]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "size", "parities", "shingles"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint long, size int, parities binary, shingles binary")
-
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(_sums(hashes, offsets).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fingerprint", "size"])
 
-def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
-    buf, offsets = flat(column)
-    return np.frombuffer(buf.tobytes(), np.uint64), offsets // 8
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, fingerprint long, size int")
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the sets repeats most (``TOLD`` at most), ascending, and their counts there."""
+def frequent(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the ``n`` texts repeats most (``TOLD`` at most), ascending, and their counts there."""
 
     def members(batches):
-        for batch in slices(batches, "shingles"):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column("shingles"))[0].view(np.int64))], ["shingle"])
+        for batch in slices(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(sets_of(batch.column("text"), shingle)[0].view(np.int64))], ["shingle"])
 
-    share = max(1, sets.count() // SAMPLE)
-    some = sets.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(share)) == 0).select("shingles")
+    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     counted = some.mapInArrow(members, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     rows = counted.orderBy(F.desc("count"), "shingle").limit(TOLD).collect()
     shingles, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
@@ -110,160 +115,281 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], counts[order]
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(shingle, size, fingerprint): the first members of each set."""
-    told, often = frequent(sets)
+def prefixes(texts: DataFrame, shingle: int, least: float, told: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, size, fingerprint, simhash): the first members of each distinct set that a task meets."""
+    told, often = told
 
     def run(batches):
-        for batch in slices(batches, "shingles", 4 << 20):
-            hashes, offsets = _unpacked(batch.column("shingles"))
+        release()
+        seen = np.zeros(0, np.uint64)
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, offsets = sets_of(batch.column("text"), shingle)
+            prints, at = np.unique(_sums(hashes, offsets), return_index=True)
             sizes = np.diff(offsets)
+            new = np.zeros(len(sizes), bool)
+            new[at[~np.isin(prints, seen)]] = True
+            seen = np.union1d(seen, prints)
             document = np.repeat(np.arange(len(sizes)), sizes)
             weight = np.zeros(len(hashes), np.int64)
             if len(told):
-                at = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
-                weight = np.where(told[at] == hashes, often[at], 0)
+                place = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
+                weight = np.where(told[place] == hashes, often[place], 0)
             order = np.lexsort((hashes, weight, document))
-            taken = np.where(sizes > 0, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
+            taken = np.where(new & (sizes > 0), sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
             own = order[gather(offsets[:-1], taken)]
-            prints = np.repeat(batch.column("fingerprint").to_numpy(), taken)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(np.repeat(sizes, taken).astype(np.int32)), pa.array(prints)], ["shingle", "size", "fingerprint"])
-
-    return sets.select("fingerprint", "shingles").mapInArrow(run, "shingle long, size int, fingerprint long")
-
-
-def _groups(least: float):
-    """Sets that share a prefix member and may be alike by size, from rows sorted by (shingle, size, fingerprint)."""
-
-    def groups(key, size, value):
+            named = [np.repeat(x, taken).view(np.int64) for x in (_sums(hashes, offsets), _simhashes(hashes, offsets))]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(np.repeat(sizes, taken).astype(np.int32)), *map(pa.array, named)], ["shingle", "size", "fingerprint", "simhash"])
+
+    return texts.select("text").mapInArrow(run, "shingle long, size int, fingerprint long, simhash long")
+
+
+_SIEVED = ("kind", "group", "chunk", "fingerprint", "size", "simhash")
+_SIEVED_DDL = "kind int, group long, chunk int, fingerprint long, size int, simhash long"
+
+
+def _candidates(key, size, value, simhash, least: float):
+    """Groups (name, members) of sets that share a key and may be alike by size and SimHash."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (least * size[1:] > size[:-1] + 1e-9)
+    group = np.cumsum(new) - 1
+    counts = np.bincount(group)
+    several = counts[group] > 1
+    value, size, simhash, group = value[several], size[several].astype(np.int64), simhash[several], np.unique(group[several], return_inverse=True)[1]
+    if not len(value):
+        return value, value
+    counts = np.bincount(group)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    exempt = size < LEAST_SIEVED
+    small, lenient = counts[group] <= SMALL, np.bincount(group[exempt], minlength=len(counts))[group] > 0
+    found_a, found_b = [], []
+    for which, radius in ((small & ~lenient, SIEVE), (small & lenient, 64)):
+        at = np.flatnonzero(which)
+        if len(at):
+            a, b = pairs_small(simhash[at], np.unique(group[at], return_inverse=True)[1], radius)
+            found_a.append(at[a])
+            found_b.append(at[b])
+    for k in np.flatnonzero(counts > SMALL):
+        own = slice(edges[k], edges[k + 1])
+        label = clustered(simhash[own], size[own], exempt[own], SIEVE, least) + edges[k]
+        found_a.append(label)
+        found_b.append(np.arange(edges[k], edges[k + 1]))
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    ok = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9) | (counts[group[a]] > SMALL)
+    label = least_labels(a[ok], b[ok], len(value))
+    order = np.argsort(label, kind="stable")
+    parts = np.bincount(label, minlength=len(value))
+    order = order[parts[label[order]] > 1]
+    starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(order)))
+    members = value[order]
+    # equal groups have one name, whatever the order in which they were found
+    names = _sums(members.view(np.uint64), np.append(starts, len(order))) if len(order) else np.zeros(0, np.uint64)
+    return np.repeat(names, sizes).view(np.int64), members
+
+
+def _sieve(least: float, chunk_rows: int):
+    """Groups of sets that may be alike, from rows sorted by (shingle, size, fingerprint).
+
+    A task holds ``chunk_rows`` rows of a shingle at most: more are cut into
+    chunks that share a row, and handed on (kind 1) so that chunks can meet.
+    """
+
+    def made(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(_SIEVED))
+
+    def groups(held):
+        key, size, value, simhash = held
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
-        key, size, value = key[keep], size[keep], value[keep]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (least * size[1:] > size[:-1] + 1e-9)
-        starts = np.append(np.flatnonzero(new), len(key))
-        names = _sums(value.view(np.uint64), starts)
-        counts = np.diff(starts)
-        several = np.flatnonzero(counts > 1)
-        several = several[np.unique(names[several], return_index=True)[1]]
-        members = value[gather(starts[:-1][several], counts[several])]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[several], counts[several]).view(np.int64)), pa.array(members)], ["group", "fingerprint"])
-
-    def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("shingle", "size", "fingerprint"))]
-            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if end >= 1 << 18:
-                yield groups(*(h[:end] for h in held))
-                held = [h[end:] for h in held]
-        yield groups(*held)
-
-    return run
+        names, members = _candidates(key[keep], size[keep], value[keep], simhash[keep].view(np.uint64), least)
+        n = len(names)
+        return made([np.zeros(n, np.int32), names, np.zeros(n, np.int32), members, np.zeros(n, np.int32), np.zeros(n, np.int64)])
 
-
-def _near(size: np.ndarray, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group whose parities allow similarity ``least``."""
-    found_a, found_b = [], []
-    for lo in range(0, len(size), 256):
-        own, others = size[lo : lo + 256, None], size[None, lo:]
-        differ = sum(np.bitwise_count(bits[lo : lo + 256, None, k] ^ bits[None, lo:, k]).astype(np.int32) for k in range(bits.shape[1]))
-        ok = (differ <= (own + others) * (1 - least) / (1 + least) + 1e-9) & (np.minimum(own, others) >= least * np.maximum(own, others) - 1e-9)
-        a, b = np.nonzero(np.triu(ok, 1))
-        found_a.append(a + lo)
-        found_b.append(b + lo)
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def _alike(least: float):
-    """Groups split by what parities exclude, from rows (group, fingerprint, size, parities) sorted by group."""
-
-    def split(group, prints, size, bits):
-        new = np.ones(len(group), bool)
-        new[1:] = group[1:] != group[:-1]
-        starts = np.append(np.flatnonzero(new), len(group))
-        counts = np.diff(starts)
-        at = starts[:-1][counts == 2]
-        differ = np.bitwise_count(bits[at] ^ bits[at + 1]).sum(axis=1)
-        at = at[differ <= (size[at] + size[at + 1]) * (1 - least) / (1 + least) + 1e-9]
-        members, sizes = [np.stack([prints[at], prints[at + 1]], 1).ravel()], [np.full(len(at), 2)]
-        for k in np.flatnonzero(counts > 2):
-            own = slice(starts[k], starts[k + 1])
-            a, b = _near(size[own], bits[own], least)
-            label = np.arange(counts[k])
-            while len(a):
-                before = label.copy()
-                low = np.minimum(label[a], label[b])
-                np.minimum.at(label, a, low)
-                np.minimum.at(label, b, low)
-                label = label[label]
-                if (label == before).all():
-                    break
-            order = np.argsort(label, kind="stable")
-            parts = np.bincount(label, minlength=counts[k])
-            members.append(prints[own][order[parts[label[order]] > 1]])
-            sizes.append(parts[parts > 1])
-        members, sizes = np.concatenate(members), np.concatenate(sizes)
-        names = _sums(members.view(np.uint64), np.concatenate([[0], np.cumsum(sizes)]))
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes).view(np.int64)), pa.array(members)], ["group", "fingerprint"])
+    def handed(held, chunk):
+        key, size, value, simhash = held
+        return made([np.ones(len(key), np.int32), key, np.full(len(key), chunk, np.int32), value, size, simhash])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)]
+        empty = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held, chunk = empty, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.frombuffer(b"".join(batch.column("parities").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            now = [batch.column("group").to_numpy(), batch.column("fingerprint").to_numpy(), batch.column("size").to_numpy().astype(np.int64), bits]
-            held = [np.concatenate([h, x]) for h, x in zip(held, now)]
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            if end >= 1 << 14:
-                yield split(*(h[:end] for h in held))
-                held = [h[end:] for h in held]
-        yield split(*held)
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("shingle", "size", "fingerprint", "simhash"))]
+            while len(held[0]):
+                if chunk:  # the first rows go on with a shingle that was cut
+                    end = int(np.searchsorted(held[0], held[0][0], side="right"))
+                    if end < len(held[0]):
+                        yield handed([h[:end] for h in held], chunk)
+                        yield groups([h[:end] for h in held])
+                        held, chunk = [h[end:] for h in held], 0
+                        continue
+                    end = 0
+                else:
+                    end = int(np.searchsorted(held[0], held[0][-1]))
+                if end >= 1 << 18 or (end and len(held[0]) - end >= chunk_rows):
+                    yield groups([h[:end] for h in held])
+                    held = [h[end:] for h in held]
+                elif not end and len(held[0]) >= chunk_rows:
+                    own = [h[:chunk_rows] for h in held]
+                    yield handed(own, chunk)
+                    yield groups(own)
+                    held, chunk = [h[chunk_rows - 1 :] for h in held], chunk + 1
+                else:
+                    break
+        if chunk:
+            yield handed(held, chunk)
+        yield groups(held)
 
     return run
 
 
-def _verified(least: float):
-    """Links of the groups in a stream sorted by group; a group may span batches."""
+def _linked(names: list[int], labels: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of similarity ``least`` or more that join all sets of one component, beyond what ``labels`` join already.
 
-    def links(names, sets):
-        if len(sets) > 2:
-            return [(names[i], names[j]) for i, j in similar_pairs(sets, least)]
-        if len(sets) < 2:
+    One set asks all others at a time, those of the smallest components first;
+    once all that are left belong to one component, nothing can change.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    label = np.unique(labels, return_inverse=True)[1]
+    if n == 2:
+        if label[0] == label[1]:
             return []
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(names[0], names[1])] if common >= least * (len(sets[0]) + len(sets[1]) - common) - 1e-9 else []
+        return [(names[0], names[1])] if common >= least * (sizes.sum() - common) - 1e-9 else []
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(distinct)))])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    links, left = [], np.arange(n)
+    while len(left) > 1:
+        own, counts = np.unique(label[left], return_counts=True)
+        if len(own) < 2:
+            break
+        i = int(left[label[left] == own[np.argmin(counts)]][0])
+        left = left[left != i]
+        mine = codes[begin[i] : begin[i + 1]]
+        common = np.bincount(owner[gather(edges[:-1][mine], np.diff(edges)[mine])], minlength=n)[left]
+        hit = left[(common >= least * (sizes[i] + sizes[left] - common) - 1e-9) & (label[left] != label[i])]
+        for j, other in zip(*(x.tolist() for x in np.unique(label[hit], return_index=True)[::-1])) if len(hit) else ():
+            links.append((names[i], names[hit[j]]))
+            label[label == other] = label[i]
+    return links
+
+
+def _verified(least: float):
+    """Links within the units of a stream sorted by unit; a unit may span batches."""
 
     def made(found):
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
-        group, names, sets = None, [], []
-        for batch in batches:
+        unit, held = None, ([], [], [])
+
+        def done():
+            if len(held[0]) < 2:
+                return []
+            found = _linked(*held, least)
+            for h in held:
+                h.clear()
+            return found
+
+        for batch in slices(batches, "shingles", 4 << 20):
             found = []
-            for g, name, data in zip(*(batch.column(c).to_pylist() for c in ("group", "fingerprint", "shingles"))):
-                if g != group:
-                    found += links(names, sets)
-                    group, names, sets = g, [], []
-                names.append(name)
-                sets.append(np.frombuffer(data, np.uint64))
+            for u, name, label, data in zip(*(batch.column(c).to_pylist() for c in ("unit", "fingerprint", "label", "shingles"))):
+                if u != unit:
+                    found += done()
+                    unit = u
+                    for h in held:
+                        h.clear()
+                held[0].append(name)
+                held[1].append(label)
+                held[2].append(np.frombuffer(data, np.uint64))
             yield made(found)
-        yield made(links(names, sets))
+        yield made(done())
 
     return run
 
 
-def jaccard_links(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of sets of similarity ``least`` or more that keep all components."""
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component (``label``) of their fingerprint under ``links``."""
+    parts = components(links).select(F.col("node").alias("fingerprint"), "component")
+    return rows.join(parts, "fingerprint", "left").withColumn("label", F.coalesce("component", "fingerprint")).drop("component")
+
+
+def _unsettled(chunks: DataFrame, of: str) -> DataFrame:
+    """(of, i, j): pairs of an ``of``'s chunks that do not belong to one component, from rows (of, chunk, label)."""
+    parts = chunks.groupBy(of, "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    parts = staged(parts, "chunks")
+    other = parts.select(of, F.col("chunk").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    same = (F.col("low") == F.col("low_j")) & (F.col("high") == F.col("high_j")) & (F.col("low") == F.col("high"))
+    return parts.withColumnRenamed("chunk", "i").join(other, of).filter((F.col("i") < F.col("j")) & ~same).select(of, "i", "j")
+
+
+def _met(chunks: DataFrame, pairs: DataFrame, of: str) -> DataFrame:
+    """The rows of both chunks of each pair, with the name of the pair as ``unit``."""
+    ways = pairs.select(of, F.xxhash64(of, "i", "j").alias("unit"), F.explode(F.array("i", "j")).alias("chunk"))
+    return chunks.join(ways, [of, "chunk"])
+
+
+def verified(groups: DataFrame, sizes: DataFrame, sets: DataFrame, least: float, unit_size: int) -> DataFrame:
+    """Links (a, b) of similarity ``least`` or more that keep the components within ``groups`` (group, fingerprint).
+
+    A group whose sets hold more than ``unit_size`` members is dealt out in
+    chunks, which are resolved by themselves first, each with the group's first
+    set; chunks then meet in pairs, where they are not one component already.
+    """
+    check = lambda units: staged(units.join(sets, "fingerprint").select("unit", "fingerprint", "label", "shingles").repartition("unit").sortWithinPartitions("unit").mapInArrow(_verified(least), "a long, b long"), "verified")
+    sized = groups.join(sizes, "fingerprint")
+    whole = groups.sparkSession
+    total = staged(sized.groupBy("group").agg(F.sum("size").alias("n"), F.min("fingerprint").alias("first")).withColumn("chunks", F.ceil(F.col("n") / unit_size).cast("int")), "groups")
+    own = F.pmod(F.xxhash64("fingerprint", "group"), F.col("chunks")).cast("int")
+    leads = F.when(F.col("fingerprint") == F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    dealt = staged(groups.join(total, "group").select("group", "chunks", "fingerprint", F.explode(leads).alias("chunk")), "dealt")
+    links = check(dealt.select(F.xxhash64("group", "chunk").alias("unit"), "fingerprint", F.col("fingerprint").alias("label")))
+    large = dealt.filter("chunks > 1")
+    if large.limit(1).count():
+        large = staged(_labelled(large.select("group", "chunk", "fingerprint"), links), "large")
+        met = _met(large, _unsettled(large, "group"), "group").dropDuplicates(["unit", "fingerprint"])
+        links = links.union(check(met.select("unit", "fingerprint", "label")))
+    return links
+
+
+def jaccard_links(docs: DataFrame, prints: DataFrame, key: str, text: str, shingle: int, least: float, chunk_rows: int = CHUNK_ROWS, unit_size: int = UNIT_SIZE) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of sets of similarity ``least`` or more that keep all components.
+
+    ``prints``: the (staged) ``set_prints`` of ``docs``.
+    """
+    texts = _rows(docs, key, text)
     order = ["shingle", "size", "fingerprint"]
-    members = prefixes(sets, least).repartition("shingle").sortWithinPartitions(*order).mapInArrow(_groups(least), "group long, fingerprint long")
-    sketch = sets.select("fingerprint", "size", "parities").dropDuplicates(["fingerprint"])
-    held = members.distinct().join(sketch, "fingerprint").select("group", "fingerprint", "size", "parities")
-    near = held.repartition("group").sortWithinPartitions("group").mapInArrow(_alike(least), "group long, fingerprint long")
-    near = staged(near.distinct(), "alike-groups")
-    asked = near.select("fingerprint").distinct()
-    own = sets.join(asked, "fingerprint", "left_semi").select("fingerprint", "shingles").dropDuplicates(["fingerprint"])
-    shipped = near.join(own, "fingerprint").select("group", "fingerprint", "shingles")
-    return shipped.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(least), "a long, b long")
+    told = frequent(texts, prints.count(), shingle)
+    members = prefixes(texts, shingle, least, told).repartition("shingle").sortWithinPartitions(*order)
+    sieved = staged(members.mapInArrow(_sieve(least, chunk_rows), _SIEVED_DDL), "sieved")
+    sizes = staged(prints.groupBy("fingerprint").agg(F.first("size").alias("size"), F.min("row").alias("row")), "sizes")
+
+    def resolved(groups):
+        groups = staged(groups.distinct(), "alike-groups")
+        asked = groups.select("fingerprint").distinct().join(sizes, "fingerprint").select("row")
+        sets = _sets(texts.join(asked, "row", "left_semi"), shingle).dropDuplicates(["fingerprint"])
+        return verified(groups, sizes.select("fingerprint", "size"), sets, least, unit_size)
+
+    links = resolved(sieved.filter("kind = 0").select("group", "fingerprint"))
+    hot = sieved.filter("kind = 1").select(F.col("group").alias("shingle"), "chunk", "fingerprint", "size", "simhash")
+    if hot.limit(1).count():
+        hot = staged(_labelled(hot, links), "hot")
+        met = _met(hot, _unsettled(hot, "shingle"), "shingle").select(F.col("unit").alias("shingle"), "size", "fingerprint", "simhash")
+        again = met.repartition("shingle").sortWithinPartitions(*order).mapInArrow(_sieve(least, 2 * chunk_rows + 2), _SIEVED_DDL)
+        links = links.union(resolved(again.filter("kind = 0").select("group", "fingerprint")))
+    return links
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(fingerprint, shingles): each row's shingle set as sorted 64-bit hashes."""
+
+    def run(batches):
+        release()
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, offsets = sets_of(batch.column("text"), shingle)
+            packed = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_sums(hashes, offsets).view(np.int64)), packed], ["fingerprint", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "fingerprint long, shingles binary")

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invarium.llm.arrays import flat, slices
+from invarium.llm.bit_slices import SMALL, majority, pairs_large, pairs_small
 from invarium.llm.components import components
-from invarium.llm.jaccard import jaccard_links, shingle_sets
-from invarium.llm.shared import small_batches, staged
+from invarium.llm.jaccard import jaccard_links, set_prints
+from invarium.llm.shared import fresh, small_batches, staged
 from invarium.llm.tokenizing import release
 
 RADIUS = 2
@@ -31,9 +32,6 @@ BANDS = 4
 WIDTH = 64 // BANDS
 PAIRS = tuple(combinations(range(BANDS), 2))
 BUCKET_LIMIT = 8192
-#: Buckets up to this size are compared many at a time by shifting the planes.
-SMALL = 64
-_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprints_of(texts, shingle: int, seed: int) -> np.ndarray:
@@ -62,21 +60,11 @@ def fingerprints_of(texts, shingle: int, seed: int) -> np.ndarray:
         hi = max(lo + 1, int(np.searchsorted(ends[full], (ends[full[lo - 1]] if lo else 0) + (1 << 20), side="right")))
         own = full[lo:hi]
         first = int(ends[own[0]] - counts[own[0]])
-        out[own] = _majority(values[first : int(ends[own[-1]])], ends[own] - counts[own] - first, counts[own])
+        out[own] = majority(values[first : int(ends[own[-1]])], ends[own] - counts[own] - first, counts[own])
         lo = hi
     return out
 
 
-def _majority(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits set in more than half of each run of ``values``."""
-    if len(starts) == 1 and len(values) > 1 << 20:
-        ones = sum(np.unpackbits(values[k : k + (1 << 20)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(values), 1 << 20))[None, :]
-    else:
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
-
-
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(key, fingerprint long): the signed 64 bits of each row's SimHash; a null or empty text has zero."""
     small_batches(docs.sparkSession)
@@ -91,79 +79,6 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
-def _planes(values: np.ndarray) -> np.ndarray:
-    """64 bit planes of the values: plane b holds bit b of value i in bit i % 64 of word i // 64."""
-    n = -(-len(values) // 64) * 64
-    padded = np.zeros(n, "<u8")
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8").astype(np.uint64)
-
-
-def _near(differences, shape) -> np.ndarray:
-    """Bits of the pairs with at most ``RADIUS`` set bits in the planes of ``differences``.
-
-    Carry-save counters: ``ones`` and ``twos`` count to three, ``over`` holds
-    pairs that have three or more.  Abandons the rest when none is left.
-    """
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
-    for k, plane in enumerate(differences):
-        carry = ones & plane
-        ones ^= plane
-        over |= twos & carry
-        twos ^= carry
-        over |= ones & twos
-        if k % 8 == 7 and (over == _ONES).all():
-            break
-    return ~over
-
-
-def _pairs_small(values: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within buckets of at most ``SMALL``: the planes against themselves, shifted."""
-    sizes = np.bincount(bucket)
-    order = np.argsort(-sizes[bucket] * np.int64(len(sizes) + 1) + bucket, kind="stable")
-    values, bucket = values[order], bucket[order]
-    size = sizes[bucket]
-    found_a, found_b = [], []
-    for shift in range(1, int(size.max(initial=0))):
-        n = int(np.count_nonzero(size > shift))
-        same = np.zeros(-(-n // 64) * 64, bool)
-        m = n - shift
-        if m <= 0:
-            break
-        same[:m] = bucket[:m] == bucket[shift:n]
-        words = np.packbits(same, bitorder="little").view("<u8")
-        left, right = _planes(values[:n]), _planes(values[shift:n])
-        w = right.shape[1]
-        near = _near((left[b, :w] ^ right[b] | ~words[:w] for b in range(64)), w) & words[:w]
-        hit = np.flatnonzero(np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little"))
-        found_a.append(hit)
-        found_b.append(hit + shift)
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
-
-
-def _pairs_large(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within one bucket: blocks of queries against all planes."""
-    planes, n = _planes(values), len(values)
-    differ = [b for b in range(64) if (planes[b] != 0).any() and not ((values >> np.uint64(b)) & np.uint64(1)).all()]
-    pad = np.zeros(planes.shape[1], np.uint64)
-    if n % 64:
-        pad[-1] = _ONES << np.uint64(n % 64)
-    found_a, found_b = [], []
-    for lo in range(0, n, 256):
-        queries = values[lo : lo + 256]
-        own = [np.where((queries >> np.uint64(b)) & np.uint64(1), _ONES, np.uint64(0))[:, None] for b in differ]
-        w = lo // 64  # pairs below the block were found from the other side
-        near = _near((planes[b, w:] ^ q for b, q in zip(differ, own)), (len(queries), planes.shape[1] - w)) & ~pad[w:]
-        a, b = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8), axis=1, bitorder="little"))
-        a, b = a + lo, b + 64 * w
-        found_a.append(a[a < b])
-        found_b.append(b[a < b])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the links, those that join something: a spanning forest with the same components."""
     parent: dict[int, int] = {}
@@ -187,11 +102,11 @@ def bucket_links(values: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np
     sizes = np.bincount(bucket)
     small = sizes[bucket] <= SMALL
     at = np.flatnonzero(small)
-    a, b = _pairs_small(values[at], np.unique(bucket[at], return_inverse=True)[1]) if len(at) else (at, at)
+    a, b = pairs_small(values[at], np.unique(bucket[at], return_inverse=True)[1], RADIUS) if len(at) else (at, at)
     found_a, found_b = [at[a]], [at[b]]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     for k in np.flatnonzero(sizes > SMALL):
-        a, b = _pairs_large(values[edges[k] : edges[k + 1]])
+        a, b = pairs_large(values[edges[k] : edges[k + 1]], RADIUS)
         keep = _forest(a, b)
         found_a.append(a[keep] + edges[k])
         found_b.append(b[keep] + edges[k])
@@ -267,7 +182,7 @@ def dedup_near(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     decision and stay.  Texts without a word are one group.  An empty table
     gives an empty table.
     """
-    sets = staged(shingle_sets(docs, key, text, shingle), "shingle-sets")
-    found = near_duplicates(sets.select("doc_id", "fingerprint"), lambda _: jaccard_links(sets, least)).filter("doc_id <> component_id")
-    gone = staged(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    prints = staged(set_prints(docs, key, text, shingle), "prints")
+    found = near_duplicates(prints.select("doc_id", "fingerprint"), lambda _: jaccard_links(docs, prints, key, text, shingle, least)).filter("doc_id <> component_id")
+    gone = staged(found.select(F.col("doc_id").alias(fresh(docs, "gone"))).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{key}`") == F.col(gone.columns[0]), "left_anti")

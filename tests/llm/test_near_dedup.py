@@ -49,9 +49,10 @@ def test_sets_like_brute_force():
             assert len(sets[i] & sets[j]) == len(want[i] & want[j])
 
 
-@pytest.mark.parametrize("told", [J.TOLD, 7])
-def test_near_dedup_like_brute_force(spark, monkeypatch, told):
+@pytest.mark.parametrize("told,chunk_rows,unit_size", [(J.TOLD, J.CHUNK_ROWS, J.UNIT_SIZE), (7, 3, 400)])
+def test_near_dedup_like_brute_force(spark, monkeypatch, told, chunk_rows, unit_size):
     monkeypatch.setattr(J, "TOLD", told)
+    monkeypatch.setattr(J.jaccard_links, "__defaults__", (chunk_rows, unit_size))
     texts = made()
     sets = [brute_set(t) for t in texts]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similarity(sets[i], sets[j]) >= 0.8]

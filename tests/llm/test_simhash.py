@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from invarium.llm import bit_slices as B
 from invarium.llm import simhash as S
 from invarium.llm.components import components
 
@@ -58,15 +59,28 @@ def clusters(n, spread, seed=0):
 @pytest.mark.parametrize("n,spread", [(1, 1), (2, 2), (63, 4), (64, 3), (65, 3), (700, 4)])
 def test_bit_sliced_pairs(n, spread):
     values = clusters(n, spread)[:n]
-    a, b = S._pairs_large(values)
+    a, b = B.pairs_large(values, 2)
     assert sorted(map(tuple, np.sort(np.stack([a, b], 1), 1))) == close_pairs(values)
     bucket = np.sort(np.random.default_rng(1).integers(0, max(1, n // 7), n))
     bucket = np.unique(bucket, return_inverse=True)[1]
-    a, b = S._pairs_small(values, bucket)
+    a, b = B.pairs_small(values, bucket, 2)
     want = [(i, j) for i, j in close_pairs(values) if bucket[i] == bucket[j]]
     assert sorted(map(tuple, np.sort(np.stack([a, b], 1), 1))) == want
 
 
+@pytest.mark.parametrize("radius", [0, 1, 5, 26, 63, 64])
+def test_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    values = rng.integers(0, 1 << 63, 150).astype(np.uint64) & np.uint64((1 << rng.integers(3, 62)) - 1)
+    distance = np.bitwise_count(values[:, None] ^ values[None, :])
+    near = B.unpacked(B.block_near(values, B.planes_of(values), radius))[:, : len(values)]
+    assert (near == (distance <= radius)).all()
+    sizes, none = np.full(len(values), 9), np.zeros(len(values), bool)
+    label = B.clustered(values, sizes, none, radius, 0.8)
+    want = roots(len(values), list(zip(*np.nonzero(np.triu(distance <= radius, 1)))))
+    assert len(set(zip(label.tolist(), want))) == len(set(want)) == len(set(label.tolist()))
+
+
 @pytest.mark.parametrize("limit", [S.BUCKET_LIMIT, 5])
 def test_components_like_brute_force(spark, limit):
     values = clusters(400, 4, 7)
