@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from invarium.llm.arrays import LOWER, SPACE, flat, line_spans, slices, spans
 from invarium.llm.bloom import PARTIAL, holds, partial, position, row_key, seen_twice
-from invarium.llm.shared import small_batches, staged
+from invarium.llm.shared import fresh, small_batches, staged
 from invarium.llm.tokenizing import release
 
 #: 2^27 bits: 16 MB for each Python worker.  More lines than that need more bits to keep suspects few.
@@ -100,7 +100,9 @@ def repeated_lines(docs: DataFrame, min_docs: int, least_chars: int, keep_first:
 
     keyed = rows.select(row_key("__key", "__text").alias("row"), "__key", "__text")
     suspects = staged(keyed.mapInArrow(suspect, "row binary, __key string, line binary, lines array<int>"), "suspects")
-    confirmed = suspects.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(F.col("__key").cast("decimal(38,0)") if dict(docs.dtypes)[key] in ("bigint", "int") else F.col("__key"), "row")).alias("owner"))
+    whole_number = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    named = F.coalesce("__key", F.hex("row"))
+    confirmed = suspects.groupBy("line").agg(F.count_distinct(named).alias("n"), F.min(F.struct(F.col("__key").isNull().alias("unnamed"), F.col("__key").cast("long") if whole_number else F.col("__key"), "row")).alias("owner"))
     confirmed = staged(confirmed.filter(F.col("n") >= min_docs).select("line", F.col("owner.row").alias("owner")), "confirmed")
     hit = suspects.join(confirmed, "line")
     lines = F.when(F.col("row") == F.col("owner"), F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).otherwise(F.col("lines")) if keep_first else F.col("lines")
@@ -108,23 +110,29 @@ def repeated_lines(docs: DataFrame, min_docs: int, least_chars: int, keep_first:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, least_chars: int = 1, keep_first: bool = False, key: str = "doc_id", text: str = "text", log2_bits: int = LOG2_BITS) -> DataFrame:
-    """``docs`` with ``text`` without its repeated lines, and ``__n_lines`` and ``__n_dropped`` (long).
+    """``docs`` with ``text`` without its repeated lines, and two more columns: ``__n_lines`` and ``__n_dropped`` (long).
 
     A key found in ``min_docs`` documents or more loses all its lines in every
     document; with ``keep_first`` the first line of the document with the
     smallest key stays.  Lines with less than ``least_chars`` code points are
-    never dropped.  Each row counts as a document, also a repeated one.  Null
-    and empty texts have one empty line and become empty; null keys and other
-    columns pass through; an empty table gives an empty table.
+    never dropped.  Rows that share a key are one document; rows without one are
+    a document for each text, and come last.  Null and empty texts have one
+    empty line and become empty; texts of any length are whole; other columns
+    pass through, and where they have one of the new names the new column gets
+    an underscore more in front; an empty table gives an empty table.
 
     The suspects are a small part of the lines; the texts are shuffled once, by
     the row's own key, so that a line in a third of all documents meets in no
     single task.
     """
-    drops = repeated_lines(docs, min_docs, least_chars, keep_first, key, text, log2_bits)
-    row = docs.withColumn("__row_key", row_key(key, text))
-    joined = row.join(drops.select(F.col("row").alias("__row_key"), F.col("lines").alias("__drop")), "__row_key", "left")
-    lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n", -1)
-    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).otherwise(F.array_join(F.filter(F.col("__lines"), lambda x, i: ~F.array_contains("__drop", i)), "\n"))
-    out = joined.withColumn("__lines", lines).withColumn("__n_lines", F.size("__lines").cast("long")).withColumn("__n_dropped", F.coalesce(F.size(F.array_distinct("__drop")), F.lit(0)).cast("long"))
-    return out.withColumn(text, kept).select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
+    drops = repeated_lines(docs, min_docs, least_chars, keep_first, key, text, log2_bits).select("row", F.array_distinct("lines").alias("drop"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], body.alias("text"), row_key(key, text).alias("row"))
+    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    joined = rows.join(drops, "row", "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    # one struct, so that the lines are split once, whatever the plan
+    kept = F.transform(F.array(F.struct(F.col("lines").alias("l"), left.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n"))[0]
+    back = {c: F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept) if c == text else F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    more = [F.size("lines").cast("long").alias(fresh(docs, "__n_lines")), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(fresh(docs, "__n_dropped"))]
+    return joined.select(*[back[c].alias(c) for c in docs.columns], *more)

@@ -82,18 +82,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_neighbours, op4_token_store, op5_quality_rules, op6_quality_classifier, op7_language_model, op8_simhash, op9_substring_dedup, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-  FROM documents
+WITH d0 AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM d0
 ), k AS (
-  SELECT doc_id, i, line,
+  SELECT r, doc_id, i, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l
 ), d AS (
   SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 )
-SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(d.key)::BIGINT AS n_dropped,
+SELECT any_value(k.doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(d.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE d.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN d ON k.key = d.key
-GROUP BY k.doc_id""",
+GROUP BY k.r""",
 }

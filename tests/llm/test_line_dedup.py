@@ -16,9 +16,11 @@ def lower(s):
 
 
 def brute(rows, min_docs, least):
-    seen = collections.Counter()
-    for _, t in rows:
-        seen.update({lower(x.strip(STRIP)) for x in (t or "").split("\n")})
+    found = collections.defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            found[lower(x.strip(STRIP))].add(("no key", t) if i is None else i)  # rows that share a key are one document
+    seen = {k: len(v) for k, v in found.items()}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -31,7 +33,7 @@ def rows():
     rng = np.random.default_rng(5)
     pool = ["Hot Line", " hot line\t", "é", "x", "", "ÉCOLE", "école", "a\rb", "long " * 30, "日本", "  "] + [f"line {i}" for i in range(60)]
     out = [(i, "\n".join(rng.choice(pool, int(rng.integers(0, 9))))) for i in range(150)]
-    return out + [(None, "hot line\nx"), (None, None), (7, out[7][1]), (7, out[7][1]), (500, ""), (501, "\n\n"), (502, "hot line")]
+    return out + [(None, "hot line\nx"), (None, None), (7, out[7][1]), (7, out[7][1]), (500, ""), (501, "\n\n"), (502, "hot line")] + [(600, "twelve times")] * 12 + [(None, f"unnamed\n{i}") for i in range(10)]
 
 
 @pytest.mark.parametrize("min_docs,least", [(3, 1), (10, 1), (4, 5)])
@@ -47,6 +49,21 @@ def test_keep_first(spark):
     assert got == {9: "a\nc", 10: "b", 11: ""}
 
 
+def test_clashing_columns(spark):
+    names = ["__drop", "__lines", "__n_dropped", "__N_lines", "__row_key", "__key", "__text", "row", "lines", "drop", "c0", "a.b"]
+    rows = [(i, f"x\nown {i}", *[f"{n} {i}" for n in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "`the id` long, `the text` string, " + ", ".join(f"`{n}` string" for n in names))
+    out = dedup_lines(docs, 3, key="the id", text="the text", log2_bits=18)
+    assert out.columns == [*docs.columns, "___n_lines", "___n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(r[0], f"own {r[0]}", *r[2:], 2, 1) for r in rows]
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(i, "\n".join(["x", *(f"{i} {k}" for k in range(30_000)), "x"])) for i in range(3)], "doc_id long, text string")
+    got = [(r["__n_lines"], r["__n_dropped"], r.text.count("\n")) for r in dedup_lines(docs, 3, log2_bits=20).collect()]
+    assert got == [(30_002, 2, 29_999)] * 3
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string"), log2_bits=18).count() == 0
 

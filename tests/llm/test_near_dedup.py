@@ -73,3 +73,12 @@ def test_stage_settings(spark):
     far[20] = far[50] = far[80] = "y"  # 85 of 115
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([words, near, far])], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "a b c d e f g h", f"g{i}", f"f{i}", i) for i in range(3)] + [(9, "other words stand here", "x", "y", 0)]
+    docs = spark.createDataFrame(rows, "`my id` long, `my text` string, __gone string, gone string, fingerprint int")
+    out = S.dedup_near(docs, key="my id", text="my text")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[3]]
+    texts = spark.createDataFrame([("b", "a b c d e f g h"), ("a", "a b c d e f g h"), (None, "a b c d e f g h")], "doc_id string, text string")
+    assert sorted((r.doc_id or "") for r in S.dedup_near(texts).collect()) == ["", "a"]
