@@ -18,6 +18,17 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: An odd constant to roll hashes by.
+A = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 64-bit values."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
 
 def slices(batches, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``max_bytes`` in each; a longer text stands alone."""

@@ -25,11 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invarium.llm.arrays import LOWER, codes_of, flat, gather, slices, spans, word_spans
+from invarium.llm.arrays import A, LOWER, codes_of, flat, gather, mixed, slices, spans, word_spans
 from invarium.llm.bit_slices import SMALL, clustered, least_labels, majority, pairs_small
 from invarium.llm.components import components
 from invarium.llm.shared import small_batches, staged
-from invarium.llm.substring_dedup import _A, _mixed
 from invarium.llm.tokenizing import release
 
 #: Documents of the sample, occurrences there that make a shingle frequent, and how many of these are told to all tasks.
@@ -53,9 +52,9 @@ def sets_of(texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     rolled = length.astype(np.uint64)
     with np.errstate(over="ignore"):
         for k in range(shingle):
-            more = rolled * _A + words[np.minimum(at + k, len(words) - 1)]
+            more = rolled * A + words[np.minimum(at + k, len(words) - 1)]
             rolled = np.where(k < length, more, rolled)
-    hashes = _mixed(rolled)
+    hashes = mixed(rolled)
     order = np.lexsort((hashes, document))
     hashes, document = hashes[order], document[order]
     new = np.ones(len(hashes), bool)
@@ -66,8 +65,8 @@ def sets_of(texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hash of each range of ``values`` as a set."""
     with np.errstate(over="ignore"):
-        totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values ^ _A), dtype=np.uint64)])
-        return _mixed(totals[offsets[1:]] - totals[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _A)
+        totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ A), dtype=np.uint64)])
+        return mixed(totals[offsets[1:]] - totals[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * A)
 
 
 def _simhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -340,7 +339,6 @@ def verified(groups: DataFrame, sizes: DataFrame, sets: DataFrame, least: float,
     """
     check = lambda units: staged(units.join(sets, "fingerprint").select("unit", "fingerprint", "label", "shingles").repartition("unit").sortWithinPartitions("unit").mapInArrow(_verified(least), "a long, b long"), "verified")
     sized = groups.join(sizes, "fingerprint")
-    whole = groups.sparkSession
     total = staged(sized.groupBy("group").agg(F.sum("size").alias("n"), F.min("fingerprint").alias("first")).withColumn("chunks", F.ceil(F.col("n") / unit_size).cast("int")), "groups")
     own = F.pmod(F.xxhash64("fingerprint", "group"), F.col("chunks")).cast("int")
     leads = F.when(F.col("fingerprint") == F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))

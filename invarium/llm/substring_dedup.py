@@ -1,26 +1,32 @@
 """Substring dedup by paragraph MinHash banding (operator 9).
 
-A paragraph is what stands between two content-defined edges: line breaks, ends
-of sentences of five words or more, one in 20 word pairs, and in sentences
-beyond 40 words one in 12 (so that text without punctuation is cut too).  The same passage hence falls into the same
-paragraphs wherever it is quoted, but for its first and last.
+A paragraph is what stands between two content-defined edges: the word pairs
+whose hash is the least among ``REACH`` pairs to either side (some nine words
+apart, five at least).  An edge depends on the words around it alone, so that a
+passage falls into the same paragraphs wherever it is quoted, however its lines
+are broken, but for what lies before its first and after its last edge.
 
 Bands: the whole paragraph (equal paragraphs collide surely) and one minimum
-each of three hash functions over its five-word shingles (a pair at Jaccard 0.8
-collides with probability 1 - 0.2^3 = 99.2 %).  Colliding paragraphs are
-verified by the exact Jaccard similarity of their shingles and clustered by
-connected components.  The first occurrence of a cluster, by document id, owns
-it; others go where they stand in a run of at least ``min_words`` words.
-
-Documents are dealt out in blocks.  A block sends each of its distinct
-paragraphs once, so that a passage in a third of all documents is one entry a
-block, and gets back who owns it; texts never meet in one task by what they
-share.
+each of as many hash functions over its five-word shingles as the target recall
+needs (``bands_for``).  Colliding paragraphs are verified by the exact Jaccard
+similarity of their shingles and clustered by connected components.  The first
+occurrence of a cluster, by document id, owns it.
+
+Others are repeats.  A run of them grows word by word for as long as the words
+before it (after it) are those before (after) its first (last) paragraph's
+owner; runs at most ``BRIDGE`` words apart are one; and runs of ``min_words``
+words or more go.  The owner's own words are never removed on account of a later
+occurrence, so that one copy always stays.
+
+Documents are dealt out in blocks of bounded bytes.  A block sends each of its
+distinct paragraphs once, so that a passage in a third of all documents is one
+entry a block, and gets back who owns it; texts never meet in one task by what
+they share.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +34,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invarium.llm.arrays import LOWER, codes_of, flat, spans, word_spans
+from invarium.llm.arrays import A, LOWER, codes_of, flat, mixed, spans, word_spans
 from invarium.llm.blocks import bucketed, edges_of, pack, pack_ascending, unpack, unpack_ascending
 from invarium.llm.components import components
-from invarium.llm.shared import shuffle_partitions, small_batches, staged
+from invarium.llm.jaccard import UNIT_SIZE, verified
+from invarium.llm.shared import fresh, shuffle_partitions, small_batches, staged
 from invarium.llm.tokenizing import release
 
-SHINGLE, SIMILARITY, BANDS = 5, 0.8, 3
-#: One in ``ANCHOR`` word pairs is an edge, in sentences beyond ``LONG_SENTENCE`` words one in ``LONG_ANCHOR``.
-ANCHOR, LONG_SENTENCE, LONG_ANCHOR = 20, 40, 12
-#: Words that a run of repeated paragraphs needs to be removed.
-MIN_WORDS = 20
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
+#: An edge has the least hash among so many pairs to either side; longer paragraphs without one are cut every ``LONGEST`` words.
+REACH, LONGEST = 4, 64
+#: Words that a run needs to be removed, and other words that it may go on after.
+MIN_WORDS, BRIDGE = 30, 2
+#: Words of an owner's neighbourhood that repeats see; a longer common stretch has an edge, hence a paragraph, of its own.
+CONTEXT = 48
+#: Text of a block, and of the paragraphs that one task compares.
+BLOCK_BYTES = 24 << 20
 _NONE = np.int64((1 << 63) - 1)
-_A = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def bands_for(similarity: float, recall: float) -> int:
+    """Bands of one minimum so that a pair of that similarity collides with probability ``recall`` or more."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity) - 1e-9))
+
+
+BANDS = bands_for(SIMILARITY, RECALL)
 
 
 class Paragraphs:
@@ -60,25 +70,8 @@ class Paragraphs:
         codes, distinct = codes_of(spans(LOWER[self.buf], self.starts, self.ends))
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
         self.words = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-        n = len(self.words)
-        last = np.zeros(n, bool)
-        last[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = True
-        if n:
-            breaks = np.concatenate([[0], np.cumsum(self.buf == 10)])
-            last[:-1] |= breaks[self.starts[1:]] > breaks[self.ends[:-1]]
-            stop = self._stops() | last
-            at = np.flatnonzero(stop)
-            line_before = np.concatenate([[-1], at[:-1]])
-            long = at - line_before >= SHINGLE
-            edge = last.copy()
-            edge[at[long]] = True
-            length = np.repeat(at - line_before, at - line_before)
-            with np.errstate(over="ignore"):
-                pair = _mixed(self.words[1:] * _A + self.words[:-1])
-            edge[1:] |= (pair % np.uint64(ANCHOR) == 0) | ((length[1:] > LONG_SENTENCE) & (pair % np.uint64(LONG_ANCHOR) == 0))
-        else:
-            edge = last
-        self.hi = np.flatnonzero(edge) + 1
+        edge = self._edges()
+        self.hi = edge
         self.lo = np.concatenate([[0], self.hi[:-1]]).astype(np.int64)[: len(self.hi)]
         self.n_words = self.hi - self.lo
         self.document = np.searchsorted(self.first, self.lo, side="right") - 1
@@ -88,15 +81,36 @@ class Paragraphs:
         self.whole = self._whole()
         self.eligible = self.n_words >= SHINGLE
 
-    def _stops(self) -> np.ndarray:
-        """Words that end a sentence: ``.!?`` last, or before one closing quote or bracket."""
-        end = self.buf[self.ends - 1]
-        before = self.buf[np.maximum(self.ends - 2, self.starts)]
-        mark = np.zeros(256, bool)
-        mark[list(b".!?")] = True
-        close = np.zeros(256, bool)
-        close[list(b"\"')]")] = True
-        return mark[end] | (close[end] & mark[before])
+    def _edges(self) -> np.ndarray:
+        """Ends of the paragraphs, as word numbers."""
+        n = len(self.words)
+        if not n:
+            return np.zeros(0, np.int64)
+        pair = mixed(self.words[1:] * A + self.words[:-1])
+        between = np.unique(self.first[1:-1])
+        between = between[(between > 0) & (between < n)]
+        most = np.uint64((1 << 64) - 1)
+        pair[between - 1] = most
+        least = pair < most
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:-1]
+        for k in range(1, min(REACH, len(pair) - 1) + 1):
+            apart = text[k:] != text[:-k]
+            least[k:] &= (pair[k:] < pair[:-k]) | apart
+            least[:-k] &= (pair[:-k] <= pair[k:]) | apart
+        least[between - 1] = True
+        ends = np.append(np.flatnonzero(least) + 1, n)
+        begins = np.concatenate([[0], ends[:-1]])
+        long = ends - begins > 2 * LONGEST
+        cuts = [np.arange(a + LONGEST, b, LONGEST) for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        return np.sort(np.concatenate([ends, *cuts])) if cuts else ends
+
+    def context(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Short hashes of the ``CONTEXT`` words before and after the paragraphs, the nearest first; zero beyond the document."""
+        short = np.append(np.maximum(self.words >> np.uint64(48), np.uint64(1)).astype("<u2"), np.uint16(0))
+        lo, hi = self.first[self.document[which]], self.first[self.document[which] + 1]
+        step = np.arange(CONTEXT)
+        before, after = self.lo[which, None] - 1 - step, self.hi[which, None] + step
+        return short[np.where(before >= lo[:, None], before, -1)], short[np.where(after < hi[:, None], after, -1)]
 
     def _whole(self) -> np.ndarray:
         """Hash of each paragraph's words in order."""
@@ -104,8 +118,8 @@ class Paragraphs:
             return np.zeros(0, np.uint64)
         place = np.arange(len(self.words)) - np.repeat(self.lo, self.n_words)
         with np.errstate(over="ignore"):
-            mixed = _mixed(self.words + _mixed(place.astype(np.uint64) * _A + np.uint64(1)))
-            return _mixed(np.add.reduceat(mixed, self.lo) + self.n_words.astype(np.uint64) * _A)
+            placed = mixed(self.words + mixed(place.astype(np.uint64) * A + np.uint64(1)))
+            return mixed(np.add.reduceat(placed, self.lo) + self.n_words.astype(np.uint64) * A)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the five-word shingles of the (eligible) paragraphs ``which``, and their offsets."""
@@ -115,8 +129,8 @@ class Paragraphs:
         with np.errstate(over="ignore"):
             rolled = np.zeros(len(at), np.uint64)
             for k in range(SHINGLE):
-                rolled = rolled * _A + self.words[at + k]
-        return _mixed(rolled), offsets
+                rolled = rolled * A + self.words[at + k]
+        return mixed(rolled), offsets
 
     def minima(self, which: np.ndarray) -> list[np.ndarray]:
         """One minimum for each hash function; functions differ, so that no two bands mix."""
@@ -124,7 +138,7 @@ class Paragraphs:
         if not len(which):
             return [np.zeros(0, np.uint64)] * BANDS
         with np.errstate(over="ignore"):
-            return [_mixed(np.minimum.reduceat(_mixed(hashes ^ s), offsets[:-1]) + s) for s in _SEEDS]
+            return [mixed(np.minimum.reduceat(mixed(hashes ^ s), offsets[:-1]) + s) for s in mixed(np.arange(1, BANDS + 1, dtype=np.uint64))]
 
 
 def _ids(column) -> np.ndarray:
@@ -148,7 +162,8 @@ def _least(keys: list[np.ndarray], document: np.ndarray, number: np.ndarray):
 
 
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("near", pa.int32()), ("keys", pa.binary()), ("wholes", pa.binary()), ("documents", pa.binary()), ("numbers", pa.binary()), ("more", pa.binary())])
-_FOUND = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("whole", pa.int64()), ("document", pa.int64()), ("number", pa.int64()), ("owners", pa.binary())])
+_FOUND = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("whole", pa.int64()), ("document", pa.int64()), ("number", pa.int64()), ("owner_block", pa.int32())])
+_NO_KEY = np.int64(0)
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -193,12 +208,12 @@ def sent(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def found(packed: DataFrame) -> DataFrame:
-    """Owners of the paragraphs that occur twice (packed, for each block), and rows of minima that different paragraphs share."""
+    """Rows (block, whole, owner's document, number and block) of paragraphs that occur twice, and (block, key, whole, document, number) of minima that different paragraphs share."""
 
     def find(table):
-        part, rows = table.column("part")[0].as_py(), []
-        blocks = np.array(table.column("block").to_pylist())
-        kinds = np.array(table.column("near").to_pylist())
+        rows = []
+        blocks = table.column("block").to_numpy()
+        kinds = table.column("near").to_numpy()
         columns = {c: table.column(c).to_pylist() for c in ("keys", "wholes", "documents", "numbers", "more")}
         for kind in (0, 1):
             own = np.flatnonzero(kinds == kind)
@@ -217,7 +232,7 @@ def found(packed: DataFrame) -> DataFrame:
                 new[1:] = (at[shared][1:] != at[shared][:-1]) | (wholes[shared][1:] != wholes[shared][:-1])
                 several = np.bincount(at[shared][new], minlength=len(distinct))
                 shared = shared[several[at[shared]] > 1]
-                rows += list(zip(block[shared].tolist(), [part] * len(shared), keys[shared].view(np.int64).tolist(), wholes[shared].view(np.int64).tolist(), document[shared].tolist(), number[shared].tolist(), [None] * len(shared)))
+                rows.append((block[shared], keys[shared].view(np.int64), wholes[shared].view(np.int64), document[shared], number[shared], np.full(len(shared), -1, np.int32)))
                 continue
             more = np.concatenate([unpack(columns["more"][i], "<u1") for i in own]).astype(bool)
             order = np.lexsort((number, document, at))
@@ -225,116 +240,81 @@ def found(packed: DataFrame) -> DataFrame:
             repeated = np.zeros(len(distinct), bool)
             repeated[at[more]] = True
             repeated[at[(document != document[head][at]) | (number != number[head][at])]] = True
-            begin = np.cumsum(sizes) - sizes
-            for b, lo, size in zip(blocks[own].tolist(), begin, sizes):
-                mine = at[lo : lo + size]
-                hit = np.flatnonzero(repeated[mine])
-                if len(hit):
-                    owner = head[mine[hit]]
-                    data = b"".join(len(x).to_bytes(8, "little") + x for x in (pack(hit, "<i4"), pack(document[owner], "<i8"), pack(number[owner], "<i4")))
-                    rows.append((b, part, None, None, None, None, data))
-        return _rows(rows, _FOUND)
+            hit = np.flatnonzero(repeated[at])
+            owner = head[at[hit]]
+            rows.append((block[hit], np.full(len(hit), _NO_KEY), keys[hit].view(np.int64), document[owner], number[owner], block[owner]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*rows)], schema=_FOUND) if rows else _rows([], _FOUND)
 
     return packed.groupBy("part").applyInArrow(find, _ddl(_FOUND))
 
 
-def _three(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out, at = [], 0
-    for dtype in ("<i4", "<i8", "<i4"):
-        size = int.from_bytes(data[at : at + 8], "little")
-        out.append(unpack(data[at + 8 : at + 8 + size], dtype))
-        at += 8 + size
-    return tuple(out)
-
-
-def similar_pairs(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links between sets of Jaccard similarity ``least`` or more that keep all components.
-
-    Prefix filter: such a pair shares one of the rarest ``(1 - least) n + 1``
-    members, so only sets that share one of these are compared; pairs that are
-    joined already are not compared again.
-    """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    every, counts = np.unique(np.concatenate(sets), return_counts=True)
-    members = [set(s.tolist()) for s in sets]
-    parent = list(range(len(sets)))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    held: dict[int, list[int]] = defaultdict(list)
-    links = []
-    for i in order:
-        own = sets[i][np.lexsort((sets[i], counts[np.searchsorted(every, sets[i])]))]
-        size = len(own)
-        prefix = own[: size - int(np.ceil(least * size - 1e-9)) + 1].tolist()
-        mine = root(i)
-        for j in dict.fromkeys(j for x in prefix for j in held[x]):
-            other = root(j)
-            if other != mine and len(sets[j]) >= least * size - 1e-9:
-                common = len(members[i] & members[j])
-                if common >= least * (size + len(sets[j]) - common) - 1e-9:
-                    links.append((i, j))
-                    parent[max(mine, other)] = mine = min(mine, other)
-        for x in prefix:
-            held[x].append(i)
-    return links
-
-
-def near_owners(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(whole, document, number): the owner of every paragraph in a cluster of similar ones.
-
-    ``candidates``: (key, whole, document, number, block) of paragraphs that
-    share a minimum.
-    """
-    asked = candidates.groupBy("whole").agg(F.min(F.struct("document", "number", "block")).alias("at")).select("whole", "at.document", "at.number", "at.block")
-    asked = staged(asked, "candidates")
+def published(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(whole, shingles, before, after) of the asked occurrences (whole, block, near): shingles where ``near``, and the words around."""
+    schema = pa.schema([("whole", pa.int64()), ("shingles", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
 
     def publish(table, wanted):
-        wholes = wanted.column("whole").to_numpy().view(np.uint64) if wanted.num_rows else np.zeros(0, np.uint64)
-        schema = pa.schema([("whole", pa.int64()), ("shingles", pa.binary())])
-        if not len(wholes) or not table.num_rows:
+        if not wanted.num_rows or not table.num_rows:
             return _rows([], schema)
-        p = Paragraphs(table.column("text"))
+        p, ids = Paragraphs(table.column("text")), _ids(table.column("doc_id"))
+        wholes = wanted.column("whole").to_numpy().view(np.uint64)
+        order = np.argsort(wholes)
+        wholes, near = wholes[order], wanted.column("near").to_numpy(zero_copy_only=False)[order]
         at = np.flatnonzero(p.eligible & np.isin(p.whole, wholes))
-        at = at[np.unique(p.whole[at], return_index=True)[1]]
-        hashes, offsets = p.shingles(at)
-        return _rows([(w, np.unique(hashes[a:b]).tobytes()) for w, a, b in zip(p.whole[at].view(np.int64).tolist(), offsets[:-1], offsets[1:])], schema)
+        at = at[_least([p.whole[at]], ids[p.document[at]], p.number[at])[0]]
+        near = near[np.searchsorted(wholes, p.whole[at])]
+        sets = np.full(len(at), None, object)
+        hashes, offsets = p.shingles(at[near])
+        for i, a, b in zip(np.flatnonzero(near), offsets[:-1], offsets[1:]):
+            sets[i] = np.unique(hashes[a:b]).tobytes()
+        before, after = ([x.tobytes() for x in c] for c in p.context(at))
+        return pa.table([pa.array(p.whole[at].view(np.int64)), pa.array(sets.tolist(), pa.binary()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], schema=schema)
+
+    ask = asked.select("whole", F.col("block").alias("at_block"), "near")
+    return staged(blocks.select("block", "doc_id", "text").groupBy("block").cogroup(ask.groupBy("at_block")).applyInArrow(publish, _ddl(schema)), "published")
 
-    ask = asked.select("whole", F.col("block").alias("at_block"))
-    sets = staged(blocks.select("block", "text").groupBy("block").cogroup(ask.groupBy("at_block")).applyInArrow(publish, "whole long, shingles binary"), "shingles")
-    groups = candidates.select("key", "whole").distinct().join(sets, "whole")
 
-    def verify(table):
-        wholes = table.column("whole").to_pylist()
-        pairs = similar_pairs([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
-        return _rows([(wholes[i], wholes[j]) for i, j in pairs], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def near_owners(candidates: DataFrame, asked: DataFrame, published: DataFrame, unit_size: int = UNIT_SIZE) -> DataFrame:
+    """(whole, document, number, owner): who owns every paragraph in a cluster of similar ones, and the owner's own hash.
 
-    parts = components(groups.groupBy("key").applyInArrow(verify, "a long, b long"))
+    ``candidates``: (key, whole) of paragraphs that share a minimum; ``asked``:
+    the first occurrence (whole, document, number) of each.
+    """
+    sets = published.filter("shingles IS NOT NULL").select(F.col("whole").alias("fingerprint"), "shingles")
+    groups = staged(candidates.select(F.col("key").alias("group"), F.col("whole").alias("fingerprint")).distinct(), "colliding")
+    sizes = sets.select("fingerprint", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    parts = components(verified(groups, sizes, sets, SIMILARITY, unit_size))
     placed = staged(parts.join(asked, parts.node == asked.whole).select("whole", "component", "document", "number"), "near")
-    owner = staged(placed.groupBy("component").agg(F.min(F.struct("document", "number")).alias("owner")), "near-owners")
-    return placed.join(owner, "component").select("whole", "owner.document", "owner.number")
-
-
-def runs(flags: np.ndarray, n_words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of repeated paragraphs (flag 1) of ``least`` words; too short ones (flag -1) may stand inside."""
-    out, start, last, words, held = [], -1, -1, 0, 0
-    for i, (f, w) in enumerate(zip(flags.tolist(), n_words.tolist())):
-        if f == 1:
-            if start < 0:
-                start, words, held = i, 0, 0
-            words, held, last = words + held + w, 0, i
-        elif f == -1 and start >= 0:
-            held += w
-        elif start >= 0:
-            if words >= least:
-                out.append((start, last + 1))
-            start = -1
-    if start >= 0 and words >= least:
-        out.append((start, last + 1))
-    return out
+    owner = staged(placed.groupBy("component").agg(F.min(F.struct("document", "number", "whole")).alias("owner")), "near-owners")
+    return placed.join(owner, "component").select("whole", "owner.document", "owner.number", F.col("owner.whole").alias("owner"))
+
+
+def grown(p: Paragraphs, flags: np.ndarray, equal: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray, i: int, least: int) -> list[tuple[int, int]]:
+    """Word ranges of document ``i`` to be removed: runs of repeats (flag 1), grown as far as their owners' neighbours agree.
+
+    ``around``: the row of ``before`` and ``after`` that tells each paragraph's
+    owner's neighbours.  A paragraph that is only similar to its owner may be cut
+    elsewhere than this, so that the outermost equal one (``equal``) is asked too.
+    """
+    lo, hi, first, end = int(p.begin[i]), int(p.begin[i + 1]), int(p.first[i]), int(p.first[i + 1])
+    short = np.maximum(p.words[first:end] >> np.uint64(48), np.uint64(1)).astype("<u2")
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags[lo:hi], [0]]))) + lo
+    out = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        same = np.flatnonzero(equal[a:b]) + a
+        start, stop = int(p.lo[a]), int(p.hi[b - 1])
+        for k in {a, *same[:1].tolist()}:
+            at = int(p.lo[k]) - first
+            own = short[max(0, at - CONTEXT) : at][::-1]
+            start = min(start, first + at - int(np.argmin(np.append(own == before[around[k]][: len(own)], False))))
+        for k in {b - 1, *same[-1:].tolist()}:
+            at = int(p.hi[k]) - first
+            own = short[at : at + CONTEXT]
+            stop = max(stop, first + at + int(np.argmin(np.append(own == after[around[k]][: len(own)], False))))
+        if out and start - out[-1][1] <= BRIDGE:
+            out[-1] = (min(start, out[-1][0]), max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return [(a, b) for a, b in out if b - a >= least]
 
 
 def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
@@ -363,40 +343,38 @@ def without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"\n".join(out)
 
 
-def _applied(blocks: DataFrame, given: DataFrame, parts: int, min_words: int) -> DataFrame:
+def _applied(blocks: DataFrame, given: DataFrame, min_words: int) -> DataFrame:
     """The blocks' rows without their repeated passages."""
     keep = [c for c in blocks.columns if c not in ("block", "text")]
 
     def apply(table, answers):
         p, ids = Paragraphs(table.column("text")), _ids(table.column("doc_id"))
-        at, document, number, _ = _exact_keys(p, ids)
-        wholes, repeated = p.whole[at], np.zeros(len(at), bool)
-        edges = edges_of(wholes, parts)
-        near = []
-        for part, owners, whole, d, n in zip(*(answers.column(c).to_pylist() for c in ("part", "owners", "whole", "document", "number"))):
-            if owners is None:
-                near.append((whole, d, n))
-                continue
-            hit, own_document, own_number = _three(owners)
-            hit = hit + edges[part]
-            repeated[hit], document[hit], number[hit] = True, own_document, own_number
-        if near:
-            whole, d, n = (np.array(x, np.int64) for x in zip(*near))
-            order = np.argsort(whole.view(np.uint64), kind="stable")
-            hit = np.searchsorted(wholes, whole.view(np.uint64)[order])
-            repeated[hit], document[hit], number[hit] = True, d[order], n[order]
-        flags = np.where(p.eligible, 0, -1)
+        wholes = np.unique(p.whole[p.eligible])
         own = np.flatnonzero(p.eligible)
-        index = np.searchsorted(wholes, p.whole[own])
-        flags[own[repeated[index] & ((document[index] != ids[p.document[own]]) | (number[index] != p.number[own]))]] = 1
+        index, document, number = np.searchsorted(wholes, p.whole[own]), ids[p.document[own]], p.number[own]
+        hit = np.searchsorted(wholes, answers.column("whole").to_numpy().view(np.uint64))
+        near = answers.column("near").to_numpy(zero_copy_only=False)
+        owner, place = answers.column("document").to_numpy(), answers.column("number").to_numpy()
+
+        def answered(which):
+            """The answer's row for each paragraph, and whether it names another than this one."""
+            row = np.full(len(wholes), -1)
+            row[hit[which]] = np.flatnonzero(which)
+            row = row[index]
+            return row, (row >= 0) & ((owner[row] != document) | (place[row] != number)) if len(owner) else row >= 0
+
+        equal_row, equal = answered(~near)
+        near_row, alike = answered(near)
+        before, after = (np.frombuffer(b"".join(answers.column(c).to_pylist()), "<u2").reshape(-1, CONTEXT) for c in ("before", "after"))
+        flags, told, same = np.zeros(len(p.lo), np.int8), np.full(len(p.lo), -1), np.zeros(len(p.lo), bool)
+        flags[own] = np.where(near_row >= 0, alike, equal)
+        told[own], same[own] = np.where(equal, equal_row, near_row), equal
         texts, removed, cut = table.column("text").to_pylist(), [0] * table.num_rows, [[] for _ in range(table.num_rows)]
         for i in np.unique(p.document[flags == 1]).tolist():
-            lo, hi = int(p.begin[i]), int(p.begin[i + 1])
-            spans_of = []
-            for a, b in runs(flags[lo:hi], p.n_words[lo:hi], min_words):
-                spans_of.append((int(p.starts[p.lo[lo + a]] - p.offsets[i]), int(p.ends[p.hi[lo + b - 1] - 1] - p.offsets[i])))
-                removed[i] += int(p.n_words[lo + a : lo + b].sum())
-            if spans_of:
+            words = grown(p, flags, same, told, before, after, i, min_words)
+            if words:
+                spans_of = [(int(p.starts[a] - p.offsets[i]), int(p.ends[b - 1] - p.offsets[i])) for a, b in words]
+                removed[i] = sum(b - a for a, b in words)
                 texts[i] = without(texts[i].encode(), spans_of).decode()
                 cut[i] = [x for s in spans_of for x in s]
         arrays = [table.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(cut, pa.list_(pa.int64()))]
@@ -404,34 +382,42 @@ def _applied(blocks: DataFrame, given: DataFrame, parts: int, min_words: int) ->
 
     kinds = dict(blocks.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["text string", "n_removed long", "spans array<long>"])
-    asked = given.select(F.col("block").alias("at_block"), "part", "owners", "whole", "document", "number")
+    asked = given.withColumnRenamed("block", "at_block")
     return blocks.groupBy("block").cogroup(asked.groupBy("at_block")).applyInArrow(apply, schema)
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
-    """``docs`` with ``text`` without repeated passages, and ``__n_removed_words`` and ``__spans`` (bytes [start, end) of the old text).
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``text`` without repeated passages, and two more columns: ``__n_removed_words`` and ``__spans`` (bytes [start, end) of the old text).
 
-    ``key`` is an integer.  The document with the smallest key keeps a passage;
-    null keys come last, rows that share a key and a text are one document.
-    Null and empty texts become empty; other columns pass through; an empty
-    table gives an empty table.  Texts are shuffled once.
+    The document with the smallest integer key keeps a passage (keys of other
+    types are ordered by their hash); null keys come last, rows that share a key
+    and a text are one document.  Null and empty texts become empty; a text of
+    any length is one document, compared as a whole; other columns pass through,
+    and where they have one of the new names the new column gets an underscore
+    more in front; an empty table gives an empty table.  Texts are shuffled once.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = shuffle_partitions(spark)
-    n = blocks or 2 * parts
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), body.alias("text"), *columns)
+    whole_number = docs.select(F.col(f"`{key}`")).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    ident = F.col(f"`{key}`").cast("long") if whole_number else F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.col(f"`{key}`").cast("string")))
+    rows = docs.select(ident.alias("doc_id"), body.alias("text"), *columns)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-total // (2 * block_bytes)))
+    n = max(2 * shuffle_partitions(spark), -(-total // block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int"))
     with bucketed(rows, n) as table:
         answers = staged(found(sent(table, parts)), "answers")
-        owners = answers.filter("owners IS NOT NULL").select("block", "part", "owners")
-        near = staged(near_owners(table, answers.filter("key IS NOT NULL").select("key", "whole", "document", "number", "block")), "near-named")
-        told = answers.filter("key IS NOT NULL").select("block", "whole").distinct().join(near, "whole")
-        empty = [F.lit(None).cast(k).alias(c) for c, k in (("whole", "long"), ("document", "long"), ("number", "long"))]
-        given = owners.select("block", "part", "owners", *empty).unionByName(told.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("owners"), "whole", "document", "number"))
-        out = staged(_applied(table, given, parts, min_words), "without-repeats")
-    names = {f"c{i}": c for i, c in enumerate(docs.columns) if c != text}
-    back = {c: i for i, c in names.items()}
-    return out.select(*[F.col("text").alias(c) if c == text else F.col(back[c]).alias(c) for c in docs.columns], F.col("n_removed").alias("__n_removed_words"), F.col("spans").alias("__spans"))
+        equal, alike = answers.filter("owner_block >= 0"), answers.filter("owner_block < 0")
+        first = staged(alike.groupBy("whole").agg(F.min(F.struct("document", "number", "block")).alias("at")).select("whole", "at.document", "at.number", "at.block"), "candidates")
+        asked = equal.select("whole", F.col("owner_block").alias("block"), F.lit(False).alias("near")).distinct().union(first.select("whole", "block", F.lit(True)))
+        told = published(table, asked.groupBy("whole", "block").agg(F.max("near").alias("near")))
+        near = staged(near_owners(alike, first, told), "near-named")
+        around = told.select(F.col("whole").alias("owner"), "before", "after").dropDuplicates(["owner"])
+        given = equal.select("block", "whole", "document", "number", F.col("whole").alias("owner"), F.lit(False).alias("near"))
+        given = given.union(alike.select("block", "whole").distinct().join(near, "whole").select("block", "whole", "document", "number", "owner", F.lit(True)))
+        out = staged(_applied(table, given.join(around, "owner").select("block", "whole", "document", "number", "near", "before", "after"), min_words), "without-repeats")
+    back = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
+    more = [F.col("n_removed").alias(fresh(docs, "__n_removed_words")), F.col("spans").alias(fresh(docs, "__spans"))]
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(back[c]).alias(c) for c in docs.columns], *more)
