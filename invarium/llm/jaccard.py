@@ -253,12 +253,13 @@ def _linked(names: list[int], labels: list[int], sets: list[np.ndarray], least:
         if label[0] == label[1]:
             return []
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(names[0], names[1])] if common >= least * (sizes.sum() - common) - 1e-9 else []
+        return [(min(names), max(names))] if common >= least * (sizes.sum() - common) - 1e-9 else []
+    given = label.copy()
     distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
     edges = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(distinct)))])
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    links, left = [], np.arange(n)
+    left = np.arange(n)
     while len(left) > 1:
         own, counts = np.unique(label[left], return_counts=True)
         if len(own) < 2:
@@ -268,9 +269,16 @@ def _linked(names: list[int], labels: list[int], sets: list[np.ndarray], least:
         mine = codes[begin[i] : begin[i + 1]]
         common = np.bincount(owner[gather(edges[:-1][mine], np.diff(edges)[mine])], minlength=n)[left]
         hit = left[(common >= least * (sizes[i] + sizes[left] - common) - 1e-9) & (label[left] != label[i])]
-        for j, other in zip(*(x.tolist() for x in np.unique(label[hit], return_index=True)[::-1])) if len(hit) else ():
-            links.append((names[i], names[hit[j]]))
-            label[label == other] = label[i]
+        if len(hit):
+            label[np.isin(label, np.unique(label[hit]))] = label[i]
+    # a star around the smallest name, which is the same wherever these sets meet again
+    links, order = [], np.array(sorted(range(n), key=names.__getitem__))
+    order = order[np.sort(np.unique(given[order], return_index=True)[1])]
+    centre: dict[int, int] = {}
+    for i in order.tolist():
+        first = centre.setdefault(int(label[i]), i)
+        if first != i:
+            links.append((names[first], names[i]))
     return links
 
 
@@ -366,7 +374,7 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, key: str, text: str, shing
 
     def resolved(groups):
         groups = staged(groups.distinct(), "alike-groups")
-        asked = groups.select("fingerprint").distinct().join(sizes, "fingerprint").select("row")
+        asked = staged(groups.select("fingerprint").distinct().join(sizes, "fingerprint").select("row"), "asked")
         sets = _sets(texts.join(asked, "row", "left_semi"), shingle).dropDuplicates(["fingerprint"])
         return verified(groups, sizes.select("fingerprint", "size"), sets, least, unit_size)
 

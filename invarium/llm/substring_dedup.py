@@ -46,8 +46,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 REACH, LONGEST = 4, 64
 #: Words that a run needs to be removed, and other words that it may go on after.
 MIN_WORDS, BRIDGE = 30, 2
-#: Words of an owner's neighbourhood that repeats see; a longer common stretch has an edge, hence a paragraph, of its own.
-CONTEXT = 48
+#: Words of an owner's neighbourhood that repeats see; a longer common stretch has an edge, hence a paragraph, of its own (999 times in 1000).
+CONTEXT = 24
 #: Text of a block, and of the paragraphs that one task compares.
 BLOCK_BYTES = 24 << 20
 _NONE = np.int64((1 << 63) - 1)
@@ -59,6 +59,8 @@ def bands_for(similarity: float, recall: float) -> int:
 
 
 BANDS = bands_for(SIMILARITY, RECALL)
+#: Two sets of similarity 0.8 differ only where the smaller has four shingles.
+NEAR_WORDS = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9) + SHINGLE - 1
 
 
 class Paragraphs:
@@ -162,12 +164,11 @@ def _least(keys: list[np.ndarray], document: np.ndarray, number: np.ndarray):
 
 
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("near", pa.int32()), ("keys", pa.binary()), ("wholes", pa.binary()), ("documents", pa.binary()), ("numbers", pa.binary()), ("more", pa.binary())])
-_FOUND = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("whole", pa.int64()), ("document", pa.int64()), ("number", pa.int64()), ("owner_block", pa.int32())])
-_NO_KEY = np.int64(0)
+_FOUND = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("whole", pa.int64()), ("document", pa.int64()), ("number", pa.int64()), ("first", pa.bool_()), ("needs", pa.bool_())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -192,7 +193,7 @@ def sent(blocks: DataFrame, parts: int) -> DataFrame:
         p, ids = Paragraphs(table.column("text")), _ids(table.column("doc_id"))
         at, document, number, more = _exact_keys(p, ids)
         sets = [(0, p.whole[at], p.whole[at], document, number, more)]
-        near = np.flatnonzero(p.n_words[at] > SHINGLE)
+        near = np.flatnonzero(p.n_words[at] >= NEAR_WORDS)
         minima = p.minima(at[near])
         keys, wholes = np.concatenate(minima), np.tile(p.whole[at[near]], BANDS)
         order = np.lexsort((wholes, keys))
@@ -208,7 +209,11 @@ def sent(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def found(packed: DataFrame) -> DataFrame:
-    """Rows (block, whole, owner's document, number and block) of paragraphs that occur twice, and (block, key, whole, document, number) of minima that different paragraphs share."""
+    """Rows of paragraphs that occur twice and, with ``key``, of minima that different paragraphs share.
+
+    (block, whole, document, number, first, needs) of the former name the owner;
+    ``first``: it is this block's own; ``needs``: the block has others.
+    """
 
     def find(table):
         rows = []
@@ -232,7 +237,7 @@ def found(packed: DataFrame) -> DataFrame:
                 new[1:] = (at[shared][1:] != at[shared][:-1]) | (wholes[shared][1:] != wholes[shared][:-1])
                 several = np.bincount(at[shared][new], minlength=len(distinct))
                 shared = shared[several[at[shared]] > 1]
-                rows.append((block[shared], keys[shared].view(np.int64), wholes[shared].view(np.int64), document[shared], number[shared], np.full(len(shared), -1, np.int32)))
+                rows.append((block[shared], keys[shared].view(np.int64), wholes[shared].view(np.int64), document[shared], number[shared], np.zeros(len(shared), bool), np.zeros(len(shared), bool)))
                 continue
             more = np.concatenate([unpack(columns["more"][i], "<u1") for i in own]).astype(bool)
             order = np.lexsort((number, document, at))
@@ -242,8 +247,10 @@ def found(packed: DataFrame) -> DataFrame:
             repeated[at[(document != document[head][at]) | (number != number[head][at])]] = True
             hit = np.flatnonzero(repeated[at])
             owner = head[at[hit]]
-            rows.append((block[hit], np.full(len(hit), _NO_KEY), keys[hit].view(np.int64), document[owner], number[owner], block[owner]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*rows)], schema=_FOUND) if rows else _rows([], _FOUND)
+            first = hit == owner
+            rows.append((block[hit], None, keys[hit].view(np.int64), document[owner], number[owner], first, ~first | more[hit]))
+        tables = [pa.table([pa.nulls(len(r[0]), f.type) if c is None else pa.array(c, f.type) for c, f in zip(r, _FOUND)], schema=_FOUND) for r in rows]
+        return pa.concat_tables(tables) if tables else _rows([], _FOUND)
 
     return packed.groupBy("part").applyInArrow(find, _ddl(_FOUND))
 
@@ -409,13 +416,13 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "do
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int"))
     with bucketed(rows, n) as table:
         answers = staged(found(sent(table, parts)), "answers")
-        equal, alike = answers.filter("owner_block >= 0"), answers.filter("owner_block < 0")
+        equal, alike = answers.filter("key IS NULL"), answers.filter("key IS NOT NULL")
         first = staged(alike.groupBy("whole").agg(F.min(F.struct("document", "number", "block")).alias("at")).select("whole", "at.document", "at.number", "at.block"), "candidates")
-        asked = equal.select("whole", F.col("owner_block").alias("block"), F.lit(False).alias("near")).distinct().union(first.select("whole", "block", F.lit(True)))
+        asked = equal.filter("first").select("whole", "block", F.lit(False).alias("near")).union(first.select("whole", "block", F.lit(True)))
         told = published(table, asked.groupBy("whole", "block").agg(F.max("near").alias("near")))
         near = staged(near_owners(alike, first, told), "near-named")
         around = told.select(F.col("whole").alias("owner"), "before", "after").dropDuplicates(["owner"])
-        given = equal.select("block", "whole", "document", "number", F.col("whole").alias("owner"), F.lit(False).alias("near"))
+        given = equal.filter("needs").select("block", "whole", "document", "number", F.col("whole").alias("owner"), F.lit(False).alias("near"))
         given = given.union(alike.select("block", "whole").distinct().join(near, "whole").select("block", "whole", "document", "number", "owner", F.lit(True)))
         out = staged(_applied(table, given.join(around, "owner").select("block", "whole", "document", "number", "near", "before", "after"), min_words), "without-repeats")
     back = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
