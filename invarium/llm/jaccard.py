@@ -4,21 +4,20 @@ No radius of a 64-bit SimHash names all pairs of a given Jaccard similarity and
 no others (at 0.8 the differing bits scatter around ten), so SimHash sieves and
 whole sets decide.
 
-Sets meet by a prefix filter, which is complete: under any one order of all
-shingles, sets of similarity ``least`` share one of their first ``n -
-ceil(least n) + 1`` members and differ in size by no more than that factor.  The
-order puts shingles that a sample of documents repeats last, so that quoted
-passages bring few together; it decides the work alone, never the result.
-
-Sets that meet are compared bit-sliced by their SimHashes at a radius of
-``SIEVE`` bits.  At similarity 0.8 a bit differs with probability 0.152, so that
-a pair is lost with probability 1.5e-7; sets of fewer than ``LEAST_SIEVED``
-shingles, where bits are less sure, pass unsieved.  What passes is verified with
-the whole sets.
+Sets meet in bands of ``ROWS`` minima each, as many as leave a pair of
+similarity ``least`` apart with probability ``LOSS`` (23 at 0.8), whatever the
+length of its texts.  Sets that meet are compared bit-sliced by their SimHashes
+at a radius of ``SIEVE`` bits.  At similarity 0.8 a bit differs with probability
+0.152, so that a pair is lost with probability 1.5e-7; sets of fewer than
+``LEAST_SIEVED`` shingles, where bits are less sure, pass unsieved.  What passes
+is verified with the whole sets: components of sieved pairs hold all links, and
+each set is sent to its component once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,11 +30,11 @@ from invarium.llm.components import components
 from invarium.llm.shared import small_batches, staged
 from invarium.llm.tokenizing import release
 
-#: Documents of the sample, occurrences there that make a shingle frequent, and how many of these are told to all tasks.
-SAMPLE, FREQUENT, TOLD = 20_000, 4, 1 << 16
+#: Minima of a band, and the probability that no band brings a pair together.
+ROWS, LOSS = 3, 1e-7
 #: Differing bits of SimHashes that pass, and sets too small to be sieved.
 SIEVE, LEAST_SIEVED = 26, 64
-#: Rows of one shingle, and members of all sets of a group, that one task holds.
+#: Rows of one band's key, and members of all sets of a group, that one task holds.
 CHUNK_ROWS, UNIT_SIZE = 1 << 17, 1 << 21
 
 
@@ -99,55 +98,53 @@ def set_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, fingerprint long, size int")
 
 
-def frequent(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the ``n`` texts repeats most (``TOLD`` at most), ascending, and their counts there."""
+def n_bands(least: float, rows: int = ROWS, loss: float = LOSS) -> int:
+    """Bands of ``rows`` minima that a pair of similarity ``least`` misses with probability ``loss`` at most."""
+    return 1 if least >= 1 else math.ceil(math.log(loss) / math.log(1 - least**rows))
 
-    def members(batches):
-        for batch in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(sets_of(batch.column("text"), shingle)[0].view(np.int64))], ["shingle"])
 
-    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
-    counted = some.mapInArrow(members, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
-    rows = counted.orderBy(F.desc("count"), "shingle").limit(TOLD).collect()
-    shingles, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], counts[order]
+def band_keys(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
+    """(sets, bands): the key of each non-empty set in each band."""
+    factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    keys = np.empty((len(offsets) - 1, bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(bands):
+            key = np.full(len(offsets) - 1, band, np.uint64)
+            for factor in factors[band * rows : (band + 1) * rows]:
+                key = mixed(key * A + np.minimum.reduceat(hashes * factor, offsets[:-1]))
+            keys[:, band] = key
+    return keys
 
 
-def prefixes(texts: DataFrame, shingle: int, least: float, told: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, size, fingerprint, simhash): the first members of each distinct set that a task meets."""
-    told, often = told
+def banded(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(key, size, fingerprint, simhash): the bands of each distinct set that a task meets."""
+    bands = n_bands(least)
 
     def run(batches):
         release()
         seen = np.zeros(0, np.uint64)
         for batch in slices(batches, "text", 2 << 20):
             hashes, offsets = sets_of(batch.column("text"), shingle)
-            prints, at = np.unique(_sums(hashes, offsets), return_index=True)
-            sizes = np.diff(offsets)
-            new = np.zeros(len(sizes), bool)
-            new[at[~np.isin(prints, seen)]] = True
+            sums, sizes = _sums(hashes, offsets), np.diff(offsets)
+            prints, at = np.unique(sums, return_index=True)
+            at = at[~np.isin(prints, seen) & (sizes[at] > 0)]
             seen = np.union1d(seen, prints)
-            document = np.repeat(np.arange(len(sizes)), sizes)
-            weight = np.zeros(len(hashes), np.int64)
-            if len(told):
-                place = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
-                weight = np.where(told[place] == hashes, often[place], 0)
-            order = np.lexsort((hashes, weight, document))
-            taken = np.where(new & (sizes > 0), sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
-            own = order[gather(offsets[:-1], taken)]
-            named = [np.repeat(x, taken).view(np.int64) for x in (_sums(hashes, offsets), _simhashes(hashes, offsets))]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(np.repeat(sizes, taken).astype(np.int32)), *map(pa.array, named)], ["shingle", "size", "fingerprint", "simhash"])
+            if not len(at):
+                continue
+            own, edges = hashes[gather(offsets[:-1][at], sizes[at])], np.concatenate([[0], np.cumsum(sizes[at])])
+            keys = band_keys(own, edges, bands).ravel().view(np.int64)
+            named = [np.repeat(x, bands).view(np.int64) for x in (sums[at], _simhashes(own, edges))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(sizes[at], bands).astype(np.int32)), *map(pa.array, named)], ["key", "size", "fingerprint", "simhash"])
 
-    return texts.select("text").mapInArrow(run, "shingle long, size int, fingerprint long, simhash long")
+    return texts.select("text").mapInArrow(run, "key long, size int, fingerprint long, simhash long")
 
 
-_SIEVED = ("kind", "group", "chunk", "fingerprint", "size", "simhash")
-_SIEVED_DDL = "kind int, group long, chunk int, fingerprint long, size int, simhash long"
+_SIEVED = ("kind", "key", "chunk", "fingerprint", "size", "simhash")
+_SIEVED_DDL = "kind int, key long, chunk int, fingerprint long, size int, simhash long"
 
 
 def _candidates(key, size, value, simhash, least: float):
-    """Groups (name, members) of sets that share a key and may be alike by size and SimHash."""
+    """Stars (the smallest name, another) of sets that share a key and may be alike by size and SimHash."""
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (least * size[1:] > size[:-1] + 1e-9)
     group = np.cumsum(new) - 1
@@ -175,22 +172,18 @@ def _candidates(key, size, value, simhash, least: float):
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     ok = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9) | (counts[group[a]] > SMALL)
     label = least_labels(a[ok], b[ok], len(value))
-    order = np.argsort(label, kind="stable")
-    parts = np.bincount(label, minlength=len(value))
-    order = order[parts[label[order]] > 1]
-    starts = np.flatnonzero(np.diff(label[order], prepend=-1))
-    sizes = np.diff(np.append(starts, len(order)))
-    members = value[order]
-    # equal groups have one name, whatever the order in which they were found
-    names = _sums(members.view(np.uint64), np.append(starts, len(order))) if len(order) else np.zeros(0, np.uint64)
-    return np.repeat(names, sizes).view(np.int64), members
+    centre = np.full(len(value), np.iinfo(np.int64).max)
+    np.minimum.at(centre, label, value)
+    centre = centre[label]
+    other = centre != value
+    return centre[other], value[other]
 
 
 def _sieve(least: float, chunk_rows: int):
-    """Groups of sets that may be alike, from rows sorted by (shingle, size, fingerprint).
+    """Links (key, fingerprint) of sets that may be alike, from rows sorted by (key, size, fingerprint).
 
-    A task holds ``chunk_rows`` rows of a shingle at most: more are cut into
-    chunks that share a row, and handed on (kind 1) so that chunks can meet.
+    A task holds ``chunk_rows`` rows of a key at most: more are cut into chunks
+    that share a row, and handed on (kind 1) so that chunks can meet.
     """
 
     def made(columns):
@@ -212,9 +205,9 @@ def _sieve(least: float, chunk_rows: int):
         empty = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         held, chunk = empty, 0
         for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("shingle", "size", "fingerprint", "simhash"))]
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "size", "fingerprint", "simhash"))]
             while len(held[0]):
-                if chunk:  # the first rows go on with a shingle that was cut
+                if chunk:  # the first rows go on with a key that was cut
                     end = int(np.searchsorted(held[0], held[0][0], side="right"))
                     if end < len(held[0]):
                         yield handed([h[:end] for h in held], chunk)
@@ -366,26 +359,20 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, key: str, text: str, shing
     ``prints``: the (staged) ``set_prints`` of ``docs``.
     """
     texts = _rows(docs, key, text)
-    order = ["shingle", "size", "fingerprint"]
-    told = frequent(texts, prints.count(), shingle)
-    members = prefixes(texts, shingle, least, told).repartition("shingle").sortWithinPartitions(*order)
-    sieved = staged(members.mapInArrow(_sieve(least, chunk_rows), _SIEVED_DDL), "sieved")
-    sizes = staged(prints.groupBy("fingerprint").agg(F.first("size").alias("size"), F.min("row").alias("row")), "sizes")
-
-    def resolved(groups):
-        groups = staged(groups.distinct(), "alike-groups")
-        asked = staged(groups.select("fingerprint").distinct().join(sizes, "fingerprint").select("row"), "asked")
-        sets = _sets(texts.join(asked, "row", "left_semi"), shingle).dropDuplicates(["fingerprint"])
-        return verified(groups, sizes.select("fingerprint", "size"), sets, least, unit_size)
-
-    links = resolved(sieved.filter("kind = 0").select("group", "fingerprint"))
-    hot = sieved.filter("kind = 1").select(F.col("group").alias("shingle"), "chunk", "fingerprint", "size", "simhash")
+    order = ["key", "size", "fingerprint"]
+    sieve = lambda rows, most: staged(rows.repartition("key").sortWithinPartitions(*order).mapInArrow(_sieve(least, most), _SIEVED_DDL), "sieved")
+    sieved = sieve(banded(texts, shingle, least), chunk_rows)
+    candidates = sieved.filter("kind = 0").select(F.col("key").alias("a"), F.col("fingerprint").alias("b"))
+    hot = sieved.filter("kind = 1")
     if hot.limit(1).count():
-        hot = staged(_labelled(hot, links), "hot")
-        met = _met(hot, _unsettled(hot, "shingle"), "shingle").select(F.col("unit").alias("shingle"), "size", "fingerprint", "simhash")
-        again = met.repartition("shingle").sortWithinPartitions(*order).mapInArrow(_sieve(least, 2 * chunk_rows + 2), _SIEVED_DDL)
-        links = links.union(resolved(again.filter("kind = 0").select("group", "fingerprint")))
-    return links
+        hot = staged(_labelled(hot.select("key", "chunk", "fingerprint", "size", "simhash"), candidates), "hot")
+        met = _met(hot, _unsettled(hot, "key"), "key").select(F.col("unit").alias("key"), "size", "fingerprint", "simhash")
+        candidates = candidates.union(sieve(met, 2 * chunk_rows + 2).filter("kind = 0").select("key", "fingerprint"))
+    groups = components(candidates).select(F.col("component").alias("group"), F.col("node").alias("fingerprint"))
+    sizes = prints.groupBy("fingerprint").agg(F.first("size").alias("size"), F.min("row").alias("row"))
+    sized = staged(groups.join(sizes, "fingerprint"), "candidates")
+    sets = _sets(texts.join(staged(sized.select("row"), "asked"), "row", "left_semi"), shingle).dropDuplicates(["fingerprint"])
+    return verified(sized.select("group", "fingerprint"), sized.select("fingerprint", "size"), sets, least, unit_size)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:

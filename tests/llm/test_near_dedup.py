@@ -49,9 +49,20 @@ def test_sets_like_brute_force():
             assert len(sets[i] & sets[j]) == len(want[i] & want[j])
 
 
-@pytest.mark.parametrize("told,chunk_rows,unit_size", [(J.TOLD, J.CHUNK_ROWS, J.UNIT_SIZE), (7, 3, 400)])
-def test_near_dedup_like_brute_force(spark, monkeypatch, told, chunk_rows, unit_size):
-    monkeypatch.setattr(J, "TOLD", told)
+def test_bands_bring_pairs_together():
+    assert J.n_bands(0.8) == 23 and J.n_bands(1.0) == 1
+    rng = np.random.default_rng(1)
+    share = []
+    for _ in range(200):
+        both, a, b = (np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (80, 10, 10))
+        sets = np.concatenate([both, a, both, b])
+        keys = J.band_keys(sets, np.array([0, 90, 180]), 23)
+        share.append((keys[0] == keys[1]).mean())
+    assert min(share) > 0 and abs(np.mean(share) - 0.8**3) < 0.03
+
+
+@pytest.mark.parametrize("chunk_rows,unit_size", [(J.CHUNK_ROWS, J.UNIT_SIZE), (3, 400)])
+def test_near_dedup_like_brute_force(spark, monkeypatch, chunk_rows, unit_size):
     monkeypatch.setattr(J.jaccard_links, "__defaults__", (chunk_rows, unit_size))
     texts = made()
     sets = [brute_set(t) for t in texts]
