@@ -1,25 +1,29 @@
 """Language-model scoring by a weighted backoff automaton (operator 7).
 
-The model is a bigram model with Dirichlet smoothing toward add-one unigrams:
+The model is a trigram model with Dirichlet smoothing, order by order, down to
+add-one unigrams:
 
-    p(w | h) = (c(h w) + k p(w)) / (c(h) + k),   p(w) = (c(w) + 1) / (N + V + 1)
+    p(w | u v) = (c(u v w) + k3 p(w | v)) / (c(u v) + k3)
+    p(w | v)   = (c(v w) + k2 p(w)) / (c(v) + k2)
+    p(w)       = (c(w) + 1) / (N + V + 1)
 
-As an automaton: every history h is a state; a seen pair (h, w) is an arc with
-log p(w | h); from h a failure arc of weight log(k / (c(h) + k)) leads to the
-root, whose arcs carry log p(w).  A text is read once from left to right: the
-state after a token is that token's, a missing arc takes the failure arc.
+As an automaton (``BackoffAutomaton``): every history seen in training is a
+state; an n-gram seen there is an arc from its history to the longest suffix
+that is a state, with its log-probability; a failure arc leads from a history to
+the next shorter one, with the log of the share k / (c(h) + k) that is left to
+what was not seen.  The root has an arc for every token.  A text is read once
+from left to right: a token without an arc takes failure arcs until there is one.
 
 The model grows with the corpus and no task holds it whole.  The documents are
-dealt out in blocks; a block sends the distinct n-grams of all of its documents
-with their counts in its training documents, packed by ranges of their 64-bit
-hashes; each range is summed over all blocks, and each block gets back the
-totals of its own n-grams in the order in which it sent them: the part of the
-automaton that its documents can reach.
+dealt out in blocks of bounded bytes; a block sends the distinct n-grams of all
+of its documents with their counts in its training documents, packed by ranges
+of their 64-bit hashes; each range is summed over all blocks, and each block
+gets back the totals of its own n-grams in the order in which it sent them: the
+part of the automaton that its documents can reach.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,31 +32,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invarium.llm.arrays import LOWER, codes_of, flat, spans, word_spans
+from invarium.llm.arrays import A, LOWER, codes_of, flat, gather, mixed, spans, word_spans
+from invarium.llm.blocks import bucketed, edges_of, pack, pack_ascending, unpack, unpack_ascending
 from invarium.llm.shared import shuffle_partitions, small_batches, staged
 from invarium.llm.tokenizing import release
 
 END, START = np.uint64(0x8C3B4E0F1D2A5967), np.uint64(0x51F0A9C37E6B2D84)
-#: Strength of the unigram prior.
-PRIOR = 100.0
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+#: Strength of the unigram prior of bigrams, and of the bigram prior of trigrams.
+PRIOR2, PRIOR3 = 100.0, 30.0
+#: Text of a block, and of the n-grams that one task sums.
+BLOCK_BYTES, PART_BYTES = 16 << 20, 48 << 20
+#: Tokens that a lane of the traversal reads; long texts have several lanes.
+LANE = 256
 
 
 @dataclass
 class Tokens:
-    """Tokens of a block (each text's words, then its end): hashes of the token, and of the pair with the one before."""
+    """Tokens of a block (each text's words, then its end): hashes of the token and of the pair and triple that end there.
+
+    A text starts after START; its first token ends no triple (hash zero).
+    """
 
     token: np.ndarray
     pair: np.ndarray
-    text: np.ndarray
+    triple: np.ndarray
     first: np.ndarray  # each text's first token, and the total
 
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def grams(self):
+        """(kind, positions, hashes) of tokens, pairs and triples."""
+        inner = np.ones(len(self.token), bool)
+        inner[self.first[:-1]] = False
+        inner = np.flatnonzero(inner)
+        every = np.arange(len(self.token))
+        return (1, every, self.token), (2, every, self.pair), (3, inner, self.triple[inner])
+
 
 def tokens_of(texts) -> Tokens:
     buf, offsets = flat(texts)
@@ -64,30 +81,18 @@ def tokens_of(texts) -> Tokens:
     before = np.concatenate([[START], token[:-1]])[: len(token)]
     before[first[:-1]] = START
     with np.errstate(over="ignore"):
-        pair = _mixed(_mixed(before) * np.uint64(0x9E3779B97F4A7C15) + token)
-    return Tokens(token, pair, np.repeat(np.arange(len(first) - 1), np.diff(first)), first)
-
-
-def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Edges of the hash ranges in ascending hashes."""
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1))
+        pair = mixed(mixed(before) * A + token)
+        triple = mixed(np.concatenate([[START], pair[:-1]])[: len(token)] * A + token)
+    triple[first[:-1]] = 0
+    return Tokens(token, pair, triple, first)
 
 
-def _pack(values: np.ndarray, dtype: str) -> bytes:
-    """Byte planes, compressed: the high bytes of small numbers cost next to nothing."""
-    planes = values.astype(dtype).view(np.uint8).reshape(len(values), -1).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def _unpack(data: bytes, dtype: str) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+_COUNTED = "kind int, part int, block int, hashes binary, counts binary"
+_TOTALLED = "kind int, part int, block int, totals binary, n_tokens long, n_distinct long"
 
 
 def counted(blocks: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, block, hashes, counts): distinct n-grams of each block, by kind (1: tokens, 2: pairs) and hash range."""
+    """(kind, part, block, hashes, counts): distinct n-grams of each block, by kind (their order) and hash range."""
 
     def count(table):
         release()
@@ -95,16 +100,17 @@ def counted(blocks: DataFrame, parts: int) -> DataFrame:
         found = tokens_of(table.column("text"))
         weight = np.repeat(np.array(table.column("trains").to_pylist(), float), np.diff(found.first))
         rows = []
-        for kind, grams in ((1, found.token), (2, found.pair)):
-            distinct, at = np.unique(grams, return_inverse=True)
-            counts = np.bincount(at, weight, len(distinct)).astype(np.int64)
-            edges = _parts(distinct, parts)
+        for kind, at, grams in found.grams():
+            distinct, code = np.unique(grams, return_inverse=True)
+            counts = np.bincount(code, weight[at], len(distinct)).astype(np.int64)
+            edges = edges_of(distinct, parts)
             for part in np.flatnonzero(np.diff(edges)):
                 own = slice(edges[part], edges[part + 1])
-                rows.append((kind, int(part), block, _pack(np.diff(distinct[own], prepend=np.uint64(0)), "<u8"), _pack(counts[own], "<u4" if counts.max() < 1 << 32 else "<u8"), int(counts.max() >= 1 << 32)))
-        return pa.table(list(map(list, zip(*rows))), pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("wide", pa.int32())]))
+                rows.append((kind, int(part), block, pack_ascending(distinct[own]), pack(counts[own], "<u8")))
+        schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+        return pa.table(list(map(list, zip(*rows))), schema)
 
-    return blocks.select("block", "text", "trains").groupBy("block").applyInArrow(count, "kind int, part int, block int, hashes binary, counts binary, wide int")
+    return blocks.select("block", "text", "trains").groupBy("block").applyInArrow(count, _COUNTED)
 
 
 def totalled(counts: DataFrame) -> DataFrame:
@@ -113,103 +119,163 @@ def totalled(counts: DataFrame) -> DataFrame:
     def total(table):
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
-        grams = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = [_unpack(x, "<u8" if w else "<u4") for x, w in zip(table.column("counts").to_pylist(), table.column("wide").to_pylist())]
+        grams = [unpack_ascending(x) for x in table.column("hashes").to_pylist()]
         edges = np.cumsum([0, *map(len, grams)])
         distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(at, np.concatenate(counts).astype(float), len(distinct)).astype(np.int64)
-        rows = [(kind, part, b, _pack(totals[at[lo:hi]], "<u8"), 0, 0) for b, lo, hi in zip(blocks, edges, edges[1:])]
+        totals = np.zeros(len(distinct), np.int64)
+        for x, lo, hi in zip(table.column("counts").to_pylist(), edges, edges[1:]):
+            totals[at[lo:hi]] += unpack(x, "<u8").astype(np.int64)  # a block sends each n-gram once
+        rows = [(kind, part, b, pack(totals[at[lo:hi]], "<u8"), 0, 0) for b, lo, hi in zip(blocks, edges, edges[1:])]
         rows.append((kind, part, -1, b"", int(totals.sum()), int((totals > 0).sum())))
         return pa.table(list(map(list, zip(*rows))), pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("totals", pa.binary()), ("n_tokens", pa.int64()), ("n_distinct", pa.int64())]))
 
-    return counts.groupBy("kind", "part").applyInArrow(total, "kind int, part int, block int, totals binary, n_tokens long, n_distinct long")
+    return counts.groupBy("kind", "part").applyInArrow(total, _TOTALLED)
 
 
 class BackoffAutomaton:
-    """The arcs that a block's documents can reach, as arrays by token position.
+    """States, arcs and failure arcs that a block's texts can reach, and the traversal.
 
-    ``token_total``: c(w); ``pair_total``: c(h w); ``history_total``: c(h).
+    States: 0 the root, 1 + t the history of token t, 1 + n + p the history of
+    pair p, the last one START.  ``arc_key`` (ascending) is state * n + token;
+    the root's arcs stand by token in ``root_weight`` and ``root_next``.
     """
 
-    def __init__(self, n_tokens: int, n_distinct: int, prior: float):
-        self.n_tokens, self.n_distinct, self.prior = n_tokens, n_distinct, prior
-
-    def root_arcs(self, token_total: np.ndarray) -> np.ndarray:
-        return np.log10((token_total + 1) / (self.n_tokens + self.n_distinct + 1))
-
-    def failure_arcs(self, history_total: np.ndarray) -> np.ndarray:
-        return np.log10(self.prior / (history_total + self.prior))
-
-    def arcs(self, pair_total, history_total, root) -> np.ndarray:
-        return np.log10((pair_total + self.prior * 10.0**root) / (history_total + self.prior))
-
-    def traverse(self, token_total, pair_total, history_total) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each step of the traversal, and of the root arcs alone."""
-        root = self.root_arcs(token_total)
-        step = self.failure_arcs(history_total) + root
-        seen = np.flatnonzero(pair_total > 0)
-        step[seen] = self.arcs(pair_total[seen], history_total[seen], root[seen])
-        return step, root
-
-
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", prior: float = PRIOR, blocks: int | None = None) -> DataFrame:
+    def __init__(self, found: Tokens, totals, n_tokens: int, n_distinct: int, starts: int, prior2: float, prior3: float):
+        """``totals(kind, hashes)``: training counts of ascending distinct n-grams."""
+        tokens, self.code = np.unique(found.token, return_inverse=True)
+        pairs, pair_at, pair = np.unique(found.pair, return_index=True, return_inverse=True)
+        inner = found.grams()[2][1]
+        triples, triple_at = np.unique(found.triple[inner], return_index=True)
+        triple_at = inner[triple_at]
+        c1, c2, c3 = totals(1, tokens).astype(float), totals(2, pairs).astype(float), totals(3, triples).astype(float)
+        n, self.start = len(tokens), 1 + len(tokens) + len(pairs)
+        self.n, self.known = n, c1 > 0
+        count = np.concatenate([[0.0], c1, c2, [float(starts)]])  # of each state's history
+
+        p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
+        self.root_weight = np.log10(p1)
+        self.root_next = np.where(c1 > 0, 1 + np.arange(n), 0)
+
+        begins = np.zeros(len(found.token), bool)
+        begins[found.first[:-1]] = True
+        token2 = self.code[pair_at]
+        history2 = np.where(begins[pair_at], self.start, 1 + self.code[np.maximum(pair_at - 1, 0)])
+        p2 = (c2 + prior2 * p1[token2]) / (count[history2] + prior2)
+        token3, history3, last3 = self.code[triple_at], 1 + n + pair[np.maximum(triple_at - 1, 0)], pair[triple_at]
+        p3 = (c3 + prior3 * p2[last3]) / (count[history3] + prior3)
+
+        seen2, seen3 = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
+        key = np.concatenate([history2[seen2] * n + token2[seen2], history3[seen3] * n + token3[seen3]])
+        order = np.argsort(key, kind="stable")
+        self.arc_key = key[order]
+        self.arc_weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
+        self.arc_next = (1 + n + np.concatenate([seen2, last3[seen3]]))[order]
+
+        self.fail_next = np.zeros(self.start + 1, np.int64)
+        self.fail_next[1 + n : self.start] = np.where(c1[token2] > 0, 1 + token2, 0)
+        prior = np.full(self.start + 1, prior2)
+        prior[1 + n : self.start] = prior3
+        self.fail_weight = np.log10(prior / (count + prior))
+
+    def traverse(self, first: np.ndarray) -> np.ndarray:
+        """Weight of each text's path.  Lanes read their tokens side by side, each carrying its state.
+
+        The state after two tokens does not depend on what came before them, so
+        that a lane inside a text reads two tokens ahead without their weight.
+        """
+        lengths = np.diff(first)
+        lanes = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), lanes)
+        begin = first[:-1][text] + LANE * gather(np.zeros(len(lanes), np.int64), lanes)
+        size = np.minimum(first[1:][text] - begin, LANE)
+        inside = begin > first[:-1][text]
+        order = np.argsort(-size, kind="stable")
+        text, begin, size, inside = text[order], begin[order], size[order], inside[order]
+        state = np.where(inside, 0, self.start)
+        weight = np.zeros(len(text))
+        for step in (2, 1):
+            ahead = np.flatnonzero(inside)
+            state[ahead] = self._read(state[ahead], self.code[begin[ahead] - step])[0]
+        for step in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -step))
+            state[:live], added = self._read(state[:live], self.code[begin[:live] + step])
+            weight[:live] += added
+        return np.bincount(text, weight, len(lengths))
+
+    def _read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more token each, and the weights of the arcs taken."""
+        state, after, weight = state.copy(), np.empty(len(state), np.int64), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            at_root = state[left] == 0
+            done = left[at_root]
+            after[done] = self.root_next[token[done]]
+            weight[done] += self.root_weight[token[done]]
+            left = left[~at_root]
+            if not len(left):
+                break
+            key = state[left] * self.n + token[left]
+            arc = np.minimum(np.searchsorted(self.arc_key, key), max(len(self.arc_key) - 1, 0))
+            hit = self.arc_key[arc] == key if len(self.arc_key) else np.zeros(len(left), bool)
+            done, arc = left[hit], arc[hit]
+            after[done] = self.arc_next[arc]
+            weight[done] += self.arc_weight[arc]
+            left = left[~hit]
+            weight[left] += self.fail_weight[state[left]]
+            state[left] = self.fail_next[state[left]]
+        return after, weight
+
+
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", prior2: float = PRIOR2, prior3: float = PRIOR3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows that are not ``held_out`` (null: not held
     out) and scores all.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower
     case; each text has one end token more.  A null or empty text is its end
-    alone; null keys are scored like others, repeated rows count and are scored
-    each; an empty table gives an empty table; other columns play no part.
-    Without training rows all counts are 0.
-
-    ``blocks``: how many; by default twice ``spark.sql.shuffle.partitions``, so
-    that a block is half of what a shuffle task gets.
+    alone; a text of any length is scored whole; null keys are scored like
+    others, repeated rows count and are scored each; an empty table gives an
+    empty table; other columns play no part.  Without training rows all counts
+    are 0.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    n_parts = shuffle_partitions(spark)
-    n_blocks = blocks or 2 * n_parts
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int")).withColumn("trains", (~F.col("held_out")).cast("int"))
-    totals = staged(totalled(counted(rows, n_parts)), "totals")
-    sums = totals.filter("block = -1 AND kind = 1").agg(F.sum("n_tokens"), F.sum("n_distinct")).first()
-    starts = rows.agg(F.sum("trains")).first()[0] or 0
-    automaton = BackoffAutomaton(sums[0] or 0, sums[1] or 0, prior)
-
-    def score(table, answers):
-        if not table.num_rows:
-            return pa.table([[]] * 6, pa.schema(out))
-        found = tokens_of(table.column("text"))
-        parts: dict[tuple[int, int], bytes] = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist()), answers.column("totals").to_pylist()))
-
-        def totals_of(which, grams):
-            distinct, at = np.unique(grams, return_inverse=True)
-            edges = _parts(distinct, n_parts)
-            own = [_unpack(parts[which, int(p)], "<u8") for p in np.flatnonzero(np.diff(edges))]
-            own = np.concatenate(own)
-            if len(own) != len(distinct):
-                raise ValueError("a block's n-grams changed between two passes")
-            return own[at].astype(float)
-
-        c, pair = totals_of(1, found.token), totals_of(2, found.pair)
-        history = np.concatenate([[0.0], c[:-1]])
-        history[found.first[:-1]] = starts
-        step, root = automaton.traverse(c, pair, history)
-        n = len(found.first) - 1
-        return pa.table(
-            [
-                table.column("doc_id"), table.column("held_out"), pa.array(np.diff(found.first)), pa.array(np.bincount(found.text[c > 0], minlength=n)),
-                pa.array(np.bincount(found.text, root, n)), pa.array(np.bincount(found.text, step, n)),
-            ],
-            pa.schema(out),
-        )
-
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     out = [("doc_id", arrow.get(kind, pa.string())), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     if kind not in arrow:
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    asked = rows.select("block", "doc_id", "text", "held_out").groupBy("block")
-    given = totals.filter("block >= 0").select("block", "kind", "part", "totals").groupBy("block")
-    scored = asked.cogroup(given).applyInArrow(score, f"doc_id {kind if kind in arrow else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(automaton.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    total, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    parts = max(shuffle_partitions(spark), -(-(total or 0) // PART_BYTES))
+    n_blocks = max(2 * shuffle_partitions(spark), -(-(total or 0) // block_bytes))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int")).withColumn("trains", (~F.col("held_out")).cast("int"))
+
+    with bucketed(rows, n_blocks) as table:
+        totals = staged(totalled(counted(table, parts)), "totals")
+        sums = totals.filter("block = -1 AND kind = 1").agg(F.sum("n_tokens"), F.sum("n_distinct")).first()
+        n_tokens, n_distinct = sums[0] or 0, sums[1] or 0
+
+        def score(table, answers):
+            if not table.num_rows:
+                return pa.table([[]] * 6, pa.schema(out))
+            found = tokens_of(table.column("text"))
+            given = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist()), answers.column("totals").to_pylist()))
+
+            def of(which, distinct):
+                own = [unpack(given[which, int(p)], "<u8") for p in np.flatnonzero(np.diff(edges_of(distinct, parts)))]
+                own = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                if len(own) != len(distinct):
+                    raise ValueError("a block's n-grams changed between two passes")
+                return own
+
+            automaton = BackoffAutomaton(found, of, n_tokens, n_distinct, starts or 0, prior2, prior3)
+            text, n = found.text, len(found.first) - 1
+            base = np.bincount(text, automaton.root_weight[automaton.code], n)
+            known = np.bincount(text[automaton.known[automaton.code]], minlength=n)
+            return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(np.diff(found.first)), pa.array(known), pa.array(base), pa.array(automaton.traverse(found.first))], pa.schema(out))
+
+        asked = table.select("block", "doc_id", "text", "held_out").groupBy("block")
+        given = totals.filter("block >= 0").select(F.col("block").alias("at_block"), "kind", "part", "totals").groupBy("at_block")
+        schema = f"doc_id {kind if kind in arrow else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        scored = staged(asked.cogroup(given).applyInArrow(score, schema), "scored")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
