@@ -14,103 +14,142 @@ the next shorter one, with the log of the share k / (c(h) + k) that is left to
 what was not seen.  The root has an arc for every token.  A text is read once
 from left to right: a token without an arc takes failure arcs until there is one.
 
-The model grows with the corpus and no task holds it whole.  The documents are
-dealt out in blocks of bounded bytes; a block sends the distinct n-grams of all
-of its documents with their counts in its training documents, packed by ranges
-of their 64-bit hashes; each range is summed over all blocks, and each block
-gets back the totals of its own n-grams in the order in which it sent them: the
-part of the automaton that its documents can reach.
+The model grows with the corpus and no task holds it whole.  Texts are never
+shuffled: each scan task writes its documents as blocks of bounded bytes, in
+which a token is a number.  A block sends the distinct n-grams of all of its
+documents with their counts in its training documents, packed by ranges of their
+64-bit hashes; each range is summed over all blocks, and each block gets back
+the totals of its own n-grams in the order in which it sent them: the part of
+the automaton that its documents can reach.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invarium.llm.arrays import A, LOWER, codes_of, flat, gather, mixed, spans, word_spans
-from invarium.llm.blocks import bucketed, edges_of, pack, pack_ascending, unpack, unpack_ascending
+from invarium.llm.arrays import A, LOWER, codes_of, flat, gather, mixed, slices, spans, word_spans
+from invarium.llm.blocks import edges_of, pack, pack_ascending, unpack, unpack_ascending
 from invarium.llm.shared import shuffle_partitions, small_batches, staged
 from invarium.llm.tokenizing import release
 
 END, START = np.uint64(0x8C3B4E0F1D2A5967), np.uint64(0x51F0A9C37E6B2D84)
 #: Strength of the unigram prior of bigrams, and of the bigram prior of trigrams.
 PRIOR2, PRIOR3 = 100.0, 30.0
-#: Text of a block, and of the n-grams that one task sums.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 48 << 20
+#: Text of a block, and tokens whose n-grams one task sums.
+BLOCK_BYTES, PART_TOKENS = 16 << 20, 8 << 20
 #: Tokens that a lane of the traversal reads; long texts have several lanes.
 LANE = 256
 
 
-@dataclass
-class Tokens:
-    """Tokens of a block (each text's words, then its end): hashes of the token and of the pair and triple that end there.
+def tokens_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each token (each text's words, then its end; frequent ones have small numbers, which take less room), the hashes that the numbers stand for, and each text's first token (with the total last)."""
+    buf, offsets = flat(texts)
+    starts, ends, first = word_spans(buf, offsets)
+    codes, distinct = codes_of(spans(LOWER[buf], starts, ends))
+    hashes, at = np.unique(np.array([END, *(xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist())], np.uint64), return_inverse=True)
+    code = np.insert(at[1 + codes], first[1:], at[0])
+    order = np.argsort(-np.bincount(code, minlength=len(hashes)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[code], hashes[order], first + np.arange(len(first))
+
+
+class Grams:
+    """Tokens, pairs and triples of a block as numbers, and the order in which their hashes are sent.
 
-    A text starts after START; its first token ends no triple (hash zero).
+    A text starts after START; its first token ends no triple (number -1).
     """
 
-    token: np.ndarray
-    pair: np.ndarray
-    triple: np.ndarray
-    first: np.ndarray  # each text's first token, and the total
+    def __init__(self, code: np.ndarray, hashes: np.ndarray, first: np.ndarray):
+        self.code, self.first, self.n = code, first, len(hashes)
+        begins = np.zeros(len(code), bool)
+        begins[first[:-1]] = True
+        self.inner = np.flatnonzero(~begins)
+        hashes = np.append(hashes, START)
+        before = np.concatenate([[self.n], code[:-1]])[: len(code)]
+        before[begins] = self.n
+        keys, self.pair = np.unique(before * (self.n + 1) + code, return_inverse=True)
+        self.pair_before, self.pair_last = keys // (self.n + 1), keys % (self.n + 1)
+        with np.errstate(over="ignore"):
+            pair_hash = mixed(mixed(hashes[self.pair_before]) * A + hashes[self.pair_last])
+            keys, at = np.unique(self.pair[self.inner - 1] * (self.n + 1) + code[self.inner], return_inverse=True)
+            self.triple_before, self.triple_last = keys // (self.n + 1), keys % (self.n + 1)
+            triple_hash = mixed(pair_hash[self.triple_before] * A + hashes[self.triple_last])
+        self.triple = np.full(len(code), -1)
+        self.triple[self.inner] = at
+        self.triple_pair = np.zeros(len(keys), np.int64)  # the pair that a triple ends with
+        self.triple_pair[at] = self.pair[self.inner]
+        self.hash = {1: hashes[:-1], 2: pair_hash, 3: triple_hash}
+        self.order = {k: np.argsort(h) for k, h in self.hash.items()}
+
+    def counts(self, weight: np.ndarray):
+        """(order, ascending hashes, counts) of tokens, pairs and triples."""
+        for kind, grams, own in ((1, self.code, weight), (2, self.pair, weight), (3, self.triple[self.inner], weight[self.inner])):
+            order = self.order[kind]
+            yield kind, self.hash[kind][order], np.bincount(grams, own, len(order)).astype(np.int64)[order]
+
+
+def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, doc_ids, held_out, lengths, codes, hashes): documents of a scan task, ``block_bytes`` of text at a time; a longer text stands alone."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    @property
-    def text(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+    def run(batches):
+        release()
+        made, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    def grams(self):
-        """(kind, positions, hashes) of tokens, pairs and triples."""
-        inner = np.ones(len(self.token), bool)
-        inner[self.first[:-1]] = False
-        inner = np.flatnonzero(inner)
-        every = np.arange(len(self.token))
-        return (1, every, self.token), (2, every, self.pair), (3, inner, self.triple[inner])
+        def block():
+            nonlocal made
+            table = pa.Table.from_batches(held).combine_chunks()
+            code, hashes, first = tokens_of(table.column("text"))
+            made += 1
+            columns = [table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), np.diff(first).tolist(), pack(code, "<u4"), pack(hashes, "<u8")]
+            types = [pa.list_(table.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([made]), *(pa.array([c], t) for c, t in zip(columns, types))], ["block", "doc_ids", "held_out", "lengths", "codes", "hashes"])
 
+        for batch in slices(batches, "text", min(block_bytes, 4 << 20)):
+            own = len(flat(batch.column("text"))[0])
+            if held and size + own > block_bytes:
+                yield block()
+                held, size = [], 0
+            held.append(batch)
+            size += own
+        if held:
+            yield block()
 
-def tokens_of(texts) -> Tokens:
-    buf, offsets = flat(texts)
-    starts, ends, first = word_spans(buf, offsets)
-    codes, distinct = codes_of(spans(LOWER[buf], starts, ends))
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
-    token = np.insert(hashes[codes] if len(codes) else np.zeros(0, np.uint64), first[1:], END)
-    first = first + np.arange(len(first))
-    before = np.concatenate([[START], token[:-1]])[: len(token)]
-    before[first[:-1]] = START
-    with np.errstate(over="ignore"):
-        pair = mixed(mixed(before) * A + token)
-        triple = mixed(np.concatenate([[START], pair[:-1]])[: len(token)] * A + token)
-    triple[first[:-1]] = 0
-    return Tokens(token, pair, triple, first)
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<int>, codes binary, hashes binary")
+
+
+def _grams(lengths, codes: bytes, hashes: bytes) -> Grams:
+    return Grams(unpack(codes, "<u4").astype(np.int64), unpack(hashes, "<u8"), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
 
 
-_COUNTED = "kind int, part int, block int, hashes binary, counts binary"
-_TOTALLED = "kind int, part int, block int, totals binary, n_tokens long, n_distinct long"
+_COUNTED = "kind int, part int, block long, hashes binary, counts binary"
+_TOTALLED = "kind int, part int, block long, totals binary, n_tokens long, n_distinct long"
 
 
 def counted(blocks: DataFrame, parts: int) -> DataFrame:
     """(kind, part, block, hashes, counts): distinct n-grams of each block, by kind (their order) and hash range."""
 
-    def count(table):
-        release()
-        block = table.column("block")[0].as_py()
-        found = tokens_of(table.column("text"))
-        weight = np.repeat(np.array(table.column("trains").to_pylist(), float), np.diff(found.first))
-        rows = []
-        for kind, at, grams in found.grams():
-            distinct, code = np.unique(grams, return_inverse=True)
-            counts = np.bincount(code, weight[at], len(distinct)).astype(np.int64)
-            edges = edges_of(distinct, parts)
-            for part in np.flatnonzero(np.diff(edges)):
-                own = slice(edges[part], edges[part + 1])
-                rows.append((kind, int(part), block, pack_ascending(distinct[own]), pack(counts[own], "<u8")))
-        schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        return pa.table(list(map(list, zip(*rows))), schema)
-
-    return blocks.select("block", "text", "trains").groupBy("block").applyInArrow(count, _COUNTED)
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def count(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, held, lengths, codes, hashes = (batch.column(c)[i].as_py() for c in ("block", "held_out", "lengths", "codes", "hashes"))
+                rows = []
+                for kind, distinct, counts in _grams(lengths, codes, hashes).counts(np.repeat(1.0 - np.array(held, float), lengths)):
+                    edges = edges_of(distinct, parts)
+                    for part in np.flatnonzero(np.diff(edges)):
+                        own = slice(edges[part], edges[part + 1])
+                        rows.append((kind, int(part), block, pack_ascending(distinct[own]), pack(counts[own], "<u8")))
+                yield from pa.table(list(map(list, zip(*rows))), schema).to_batches()
+
+    return blocks.select("block", "held_out", "lengths", "codes", "hashes").mapInArrow(count, _COUNTED)
 
 
 def totalled(counts: DataFrame) -> DataFrame:
@@ -127,7 +166,7 @@ def totalled(counts: DataFrame) -> DataFrame:
             totals[at[lo:hi]] += unpack(x, "<u8").astype(np.int64)  # a block sends each n-gram once
         rows = [(kind, part, b, pack(totals[at[lo:hi]], "<u8"), 0, 0) for b, lo, hi in zip(blocks, edges, edges[1:])]
         rows.append((kind, part, -1, b"", int(totals.sum()), int((totals > 0).sum())))
-        return pa.table(list(map(list, zip(*rows))), pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("totals", pa.binary()), ("n_tokens", pa.int64()), ("n_distinct", pa.int64())]))
+        return pa.table(list(map(list, zip(*rows))), pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("totals", pa.binary()), ("n_tokens", pa.int64()), ("n_distinct", pa.int64())]))
 
     return counts.groupBy("kind", "part").applyInArrow(total, _TOTALLED)
 
@@ -136,53 +175,41 @@ class BackoffAutomaton:
     """States, arcs and failure arcs that a block's texts can reach, and the traversal.
 
     States: 0 the root, 1 + t the history of token t, 1 + n + p the history of
-    pair p, the last one START.  ``arc_key`` (ascending) is state * n + token;
-    the root's arcs stand by token in ``root_weight`` and ``root_next``.
+    pair p, the last one START.  Arcs are numbered like the n-grams that they
+    complete: the root's by token, a token's by pair, a pair's by triple; a
+    block's texts know the number of each of their n-grams, so that a state
+    finds its arc without a search.
     """
 
-    def __init__(self, found: Tokens, totals, n_tokens: int, n_distinct: int, starts: int, prior2: float, prior3: float):
-        """``totals(kind, hashes)``: training counts of ascending distinct n-grams."""
-        tokens, self.code = np.unique(found.token, return_inverse=True)
-        pairs, pair_at, pair = np.unique(found.pair, return_index=True, return_inverse=True)
-        inner = found.grams()[2][1]
-        triples, triple_at = np.unique(found.triple[inner], return_index=True)
-        triple_at = inner[triple_at]
-        c1, c2, c3 = totals(1, tokens).astype(float), totals(2, pairs).astype(float), totals(3, triples).astype(float)
-        n, self.start = len(tokens), 1 + len(tokens) + len(pairs)
-        self.n, self.known = n, c1 > 0
-        count = np.concatenate([[0.0], c1, c2, [float(starts)]])  # of each state's history
-
+    def __init__(self, grams: Grams, totals, n_tokens: int, n_distinct: int, starts: int, prior2: float, prior3: float):
+        """``totals(kind, ascending hashes)``: training counts of the block's n-grams."""
+        self.grams, n = grams, grams.n
+        c1, c2, c3 = (np.empty(len(order)) for order in grams.order.values())
+        for kind, c in ((1, c1), (2, c2), (3, c3)):
+            c[grams.order[kind]] = totals(kind, grams.hash[kind][grams.order[kind]])
+        self.known, self.start = c1 > 0, 1 + n + len(c2)
+        history = np.append(c1, float(starts))[grams.pair_before]
         p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
-        self.root_weight = np.log10(p1)
-        self.root_next = np.where(c1 > 0, 1 + np.arange(n), 0)
-
-        begins = np.zeros(len(found.token), bool)
-        begins[found.first[:-1]] = True
-        token2 = self.code[pair_at]
-        history2 = np.where(begins[pair_at], self.start, 1 + self.code[np.maximum(pair_at - 1, 0)])
-        p2 = (c2 + prior2 * p1[token2]) / (count[history2] + prior2)
-        token3, history3, last3 = self.code[triple_at], 1 + n + pair[np.maximum(triple_at - 1, 0)], pair[triple_at]
-        p3 = (c3 + prior3 * p2[last3]) / (count[history3] + prior3)
-
-        seen2, seen3 = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
-        key = np.concatenate([history2[seen2] * n + token2[seen2], history3[seen3] * n + token3[seen3]])
-        order = np.argsort(key, kind="stable")
-        self.arc_key = key[order]
-        self.arc_weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
-        self.arc_next = (1 + n + np.concatenate([seen2, last3[seen3]]))[order]
-
-        self.fail_next = np.zeros(self.start + 1, np.int64)
-        self.fail_next[1 + n : self.start] = np.where(c1[token2] > 0, 1 + token2, 0)
+        p2 = (c2 + prior2 * p1[grams.pair_last]) / (history + prior2)
+        p3 = (c3 + prior3 * p2[grams.triple_pair]) / (c2[grams.triple_before] + prior3)
+        # arcs by level of their state: root, token, pair; no arc: next state -1
+        self.weight = [np.log10(p1), np.log10(p2), np.log10(p3)]
+        pairs = 1 + n + np.arange(len(c2))
+        self.next = [np.where(c1 > 0, 1 + np.arange(n), 0), np.where(c2 > 0, pairs, -1), np.where(c3 > 0, pairs[grams.triple_pair], -1)]
+        count = np.concatenate([[0.0], c1, c2, [float(starts)]])
         prior = np.full(self.start + 1, prior2)
         prior[1 + n : self.start] = prior3
         self.fail_weight = np.log10(prior / (count + prior))
+        self.fail_next = np.zeros(self.start + 1, np.int64)
+        self.fail_next[1 + n : self.start] = np.where(c1[grams.pair_last] > 0, 1 + grams.pair_last, 0)
 
-    def traverse(self, first: np.ndarray) -> np.ndarray:
+    def traverse(self) -> np.ndarray:
         """Weight of each text's path.  Lanes read their tokens side by side, each carrying its state.
 
         The state after two tokens does not depend on what came before them, so
         that a lane inside a text reads two tokens ahead without their weight.
         """
+        first = self.grams.first
         lengths = np.diff(first)
         lanes = -(-lengths // LANE)
         text = np.repeat(np.arange(len(lengths)), lanes)
@@ -195,34 +222,30 @@ class BackoffAutomaton:
         weight = np.zeros(len(text))
         for step in (2, 1):
             ahead = np.flatnonzero(inside)
-            state[ahead] = self._read(state[ahead], self.code[begin[ahead] - step])[0]
+            state[ahead] = self._read(state[ahead], begin[ahead] - step)[0]
         for step in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -step))
-            state[:live], added = self._read(state[:live], self.code[begin[:live] + step])
+            state[:live], added = self._read(state[:live], begin[:live] + step)
             weight[:live] += added
         return np.bincount(text, weight, len(lengths))
 
-    def _read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after one more token each, and the weights of the arcs taken."""
-        state, after, weight = state.copy(), np.empty(len(state), np.int64), np.zeros(len(state))
-        left = np.arange(len(state))
-        while len(left):
-            at_root = state[left] == 0
-            done = left[at_root]
-            after[done] = self.root_next[token[done]]
-            weight[done] += self.root_weight[token[done]]
-            left = left[~at_root]
-            if not len(left):
-                break
-            key = state[left] * self.n + token[left]
-            arc = np.minimum(np.searchsorted(self.arc_key, key), max(len(self.arc_key) - 1, 0))
-            hit = self.arc_key[arc] == key if len(self.arc_key) else np.zeros(len(left), bool)
-            done, arc = left[hit], arc[hit]
-            after[done] = self.arc_next[arc]
-            weight[done] += self.arc_weight[arc]
-            left = left[~hit]
-            weight[left] += self.fail_weight[state[left]]
-            state[left] = self.fail_next[state[left]]
+    def _read(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the tokens ``at`` these places, and the weights of the arcs taken."""
+        state, after, weight = state.copy(), np.full(len(state), -1), np.zeros(len(state))
+        levels = ((2, self.grams.triple, (state > self.grams.n) & (state < self.start)), (1, self.grams.pair, None), (0, self.grams.code, None))
+        for level, arcs, own in levels:
+            if own is None:
+                own = (after < 0) & ((state > 0) if level else True)
+            own = np.flatnonzero(own)
+            arc = arcs[at[own]]
+            found = self.next[level][arc]
+            hit = found >= 0
+            done = own[hit]
+            after[done] = found[hit]
+            weight[done] += self.weight[level][arc[hit]]
+            failed = own[~hit]
+            weight[failed] += self.fail_weight[state[failed]]
+            state[failed] = self.fail_next[state[failed]]
         return after, weight
 
 
@@ -237,45 +260,42 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     empty table; other columns play no part.  Without training rows all counts
     are 0.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    out = [("doc_id", arrow.get(kind, pa.string())), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-    if kind not in arrow:
-        rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    total, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
-    parts = max(shuffle_partitions(spark), -(-(total or 0) // PART_BYTES))
-    n_blocks = max(2 * shuffle_partitions(spark), -(-(total or 0) // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int")).withColumn("trains", (~F.col("held_out")).cast("int"))
-
-    with bucketed(rows, n_blocks) as table:
-        totals = staged(totalled(counted(table, parts)), "totals")
-        sums = totals.filter("block = -1 AND kind = 1").agg(F.sum("n_tokens"), F.sum("n_distinct")).first()
-        n_tokens, n_distinct = sums[0] or 0, sums[1] or 0
-
-        def score(table, answers):
-            if not table.num_rows:
-                return pa.table([[]] * 6, pa.schema(out))
-            found = tokens_of(table.column("text"))
-            given = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist()), answers.column("totals").to_pylist()))
-
-            def of(which, distinct):
-                own = [unpack(given[which, int(p)], "<u8") for p in np.flatnonzero(np.diff(edges_of(distinct, parts)))]
-                own = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                if len(own) != len(distinct):
-                    raise ValueError("a block's n-grams changed between two passes")
-                return own
-
-            automaton = BackoffAutomaton(found, of, n_tokens, n_distinct, starts or 0, prior2, prior3)
-            text, n = found.text, len(found.first) - 1
-            base = np.bincount(text, automaton.root_weight[automaton.code], n)
-            known = np.bincount(text[automaton.known[automaton.code]], minlength=n)
-            return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(np.diff(found.first)), pa.array(known), pa.array(base), pa.array(automaton.traverse(found.first))], pa.schema(out))
-
-        asked = table.select("block", "doc_id", "text", "held_out").groupBy("block")
-        given = totals.filter("block >= 0").select(F.col("block").alias("at_block"), "kind", "part", "totals").groupBy("at_block")
-        schema = f"doc_id {kind if kind in arrow else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        scored = staged(asked.cogroup(given).applyInArrow(score, schema), "scored")
+    blocks = staged(blocks_of(rows, block_bytes), "blocks")
+    total, starts = blocks.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()
+    parts = max(shuffle_partitions(spark), -(-(total or 0) // PART_TOKENS))
+    totals = staged(totalled(counted(blocks, parts)), "totals")
+    sums = totals.filter("block = -1 AND kind = 1").agg(F.sum("n_tokens"), F.sum("n_distinct")).first()
+    n_tokens, n_distinct = sums[0] or 0, sums[1] or 0
+    out = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(table, answers):
+        found = []
+        given = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist()), answers.column("totals").to_pylist()))
+
+        def of(which, distinct):
+            own = [unpack(given[which, int(p)], "<u8") for p in np.flatnonzero(np.diff(edges_of(distinct, parts)))]
+            own = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            if len(own) != len(distinct):
+                raise ValueError("a block's n-grams changed between two passes")
+            return own
+
+        for i in range(table.num_rows):
+            lengths, codes, hashes = (table.column(c)[i].as_py() for c in ("lengths", "codes", "hashes"))
+            grams = _grams(lengths, codes, hashes)
+            automaton = BackoffAutomaton(grams, of, n_tokens, n_distinct, starts or 0, prior2, prior3)
+            text, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+            base = np.bincount(text, automaton.weight[0][grams.code], n)
+            known = np.bincount(text[automaton.known[grams.code]], minlength=n)
+            own = pa.table([pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(automaton.traverse())], schema=out)
+            ids, held = (table.column(c)[i].values for c in ("doc_ids", "held_out"))
+            found.append(own.add_column(0, "held_out", [held]).add_column(0, "doc_id", [ids]))
+        return pa.concat_tables(found) if found else out.insert(0, pa.field("held_out", pa.bool_())).insert(0, pa.field("doc_id", table.schema.field("doc_ids").type.value_type)).empty_table()
+
+    given = totals.filter("block >= 0").select(F.col("block").alias("at_block"), "kind", "part", "totals").groupBy("at_block")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = blocks.groupBy("block").cogroup(given).applyInArrow(score, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
