@@ -41,7 +41,7 @@ END, START = np.uint64(0x8C3B4E0F1D2A5967), np.uint64(0x51F0A9C37E6B2D84)
 #: Strength of the unigram prior of bigrams, and of the bigram prior of trigrams.
 PRIOR2, PRIOR3 = 100.0, 30.0
 #: Text of a block, and tokens whose n-grams one task sums.
-BLOCK_BYTES, PART_TOKENS = 16 << 20, 8 << 20
+BLOCK_BYTES, PART_TOKENS = 12 << 20, 6 << 20
 #: Tokens that a lane of the traversal reads; long texts have several lanes.
 LANE = 256
 
@@ -59,6 +59,17 @@ def tokens_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank[code], hashes[order], first + np.arange(len(first))
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and each key's number; in less room than np.unique takes."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], number
+
+
 class Grams:
     """Tokens, pairs and triples of a block as numbers, and the order in which their hashes are sent.
 
@@ -67,25 +78,32 @@ class Grams:
 
     def __init__(self, code: np.ndarray, hashes: np.ndarray, first: np.ndarray):
         self.code, self.first, self.n = code, first, len(hashes)
+        hashes = np.append(hashes, START)
+        keys = np.concatenate([[self.n], code[:-1]])[: len(code)].astype(np.int64)
+        keys[first[:-1]] = self.n
+        keys *= self.n + 1
+        keys += code
+        keys, self.pair = _numbered(keys)
+        before, self.pair_last = ((x).astype(np.int32) for x in divmod(keys, self.n + 1))
+        self.pair_before = before
+        with np.errstate(over="ignore"):
+            pair_hash = mixed(mixed(hashes[before]) * A + hashes[self.pair_last])
         begins = np.zeros(len(code), bool)
         begins[first[:-1]] = True
-        self.inner = np.flatnonzero(~begins)
-        hashes = np.append(hashes, START)
-        before = np.concatenate([[self.n], code[:-1]])[: len(code)]
-        before[begins] = self.n
-        keys, self.pair = np.unique(before * (self.n + 1) + code, return_inverse=True)
-        self.pair_before, self.pair_last = keys // (self.n + 1), keys % (self.n + 1)
+        self.inner = np.flatnonzero(~begins).astype(np.int32)
+        keys = self.pair[self.inner - 1].astype(np.int64)
+        keys *= self.n + 1
+        keys += code[self.inner]
+        keys, at = _numbered(keys)
+        self.triple_before, triple_last = ((x).astype(np.int32) for x in divmod(keys, self.n + 1))
         with np.errstate(over="ignore"):
-            pair_hash = mixed(mixed(hashes[self.pair_before]) * A + hashes[self.pair_last])
-            keys, at = np.unique(self.pair[self.inner - 1] * (self.n + 1) + code[self.inner], return_inverse=True)
-            self.triple_before, self.triple_last = keys // (self.n + 1), keys % (self.n + 1)
-            triple_hash = mixed(pair_hash[self.triple_before] * A + hashes[self.triple_last])
-        self.triple = np.full(len(code), -1)
+            triple_hash = mixed(pair_hash[self.triple_before] * A + hashes[triple_last])
+        self.triple = np.full(len(code), -1, np.int32)
         self.triple[self.inner] = at
-        self.triple_pair = np.zeros(len(keys), np.int64)  # the pair that a triple ends with
+        self.triple_pair = np.zeros(len(keys), np.int32)  # the pair that a triple ends with
         self.triple_pair[at] = self.pair[self.inner]
         self.hash = {1: hashes[:-1], 2: pair_hash, 3: triple_hash}
-        self.order = {k: np.argsort(h) for k, h in self.hash.items()}
+        self.order = {k: np.argsort(h).astype(np.int32) for k, h in self.hash.items()}
 
     def counts(self, weight: np.ndarray):
         """(order, ascending hashes, counts) of tokens, pairs and triples."""
@@ -107,7 +125,7 @@ def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             code, hashes, first = tokens_of(table.column("text"))
             made += 1
-            columns = [table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), np.diff(first).tolist(), pack(code, "<u4"), pack(hashes, "<u8")]
+            columns = [table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), np.diff(first).tolist(), pack(code, "<i4"), pack(hashes, "<u8")]
             types = [pa.list_(table.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([made]), *(pa.array([c], t) for c, t in zip(columns, types))], ["block", "doc_ids", "held_out", "lengths", "codes", "hashes"])
 
@@ -125,7 +143,7 @@ def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _grams(lengths, codes: bytes, hashes: bytes) -> Grams:
-    return Grams(unpack(codes, "<u4").astype(np.int64), unpack(hashes, "<u8"), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
+    return Grams(unpack(codes, "<i4"), unpack(hashes, "<u8"), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
 
 
 _COUNTED = "kind int, part int, block long, hashes binary, counts binary"
@@ -188,20 +206,20 @@ class BackoffAutomaton:
         for kind, c in ((1, c1), (2, c2), (3, c3)):
             c[grams.order[kind]] = totals(kind, grams.hash[kind][grams.order[kind]])
         self.known, self.start = c1 > 0, 1 + n + len(c2)
-        history = np.append(c1, float(starts))[grams.pair_before]
-        p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
-        p2 = (c2 + prior2 * p1[grams.pair_last]) / (history + prior2)
-        p3 = (c3 + prior3 * p2[grams.triple_pair]) / (c2[grams.triple_before] + prior3)
-        # arcs by level of their state: root, token, pair; no arc: next state -1
-        self.weight = [np.log10(p1), np.log10(p2), np.log10(p3)]
-        pairs = 1 + n + np.arange(len(c2))
-        self.next = [np.where(c1 > 0, 1 + np.arange(n), 0), np.where(c2 > 0, pairs, -1), np.where(c3 > 0, pairs[grams.triple_pair], -1)]
-        count = np.concatenate([[0.0], c1, c2, [float(starts)]])
+        count = np.concatenate([[0.0], c1, c2, [float(starts)]])  # of each state's history
         prior = np.full(self.start + 1, prior2)
         prior[1 + n : self.start] = prior3
         self.fail_weight = np.log10(prior / (count + prior))
-        self.fail_next = np.zeros(self.start + 1, np.int64)
+        self.fail_next = np.zeros(self.start + 1, np.int32)
         self.fail_next[1 + n : self.start] = np.where(c1[grams.pair_last] > 0, 1 + grams.pair_last, 0)
+        # arcs by level of their state: root, token, pair; no arc: next state -1
+        pairs = np.arange(1 + n, 1 + n + len(c2), dtype=np.int32)
+        self.next = [np.where(c1 > 0, np.arange(1, 1 + n, dtype=np.int32), 0), np.where(c2 > 0, pairs, -1), np.where(c3 > 0, pairs[grams.triple_pair], -1)]
+        history = np.append(c1, float(starts))[grams.pair_before]
+        p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
+        p2 = (c2 + prior2 * p1[grams.pair_last]) / (history + prior2)
+        p3 = (c3 + prior3 * p2[grams.triple_pair]) / (c2[grams.triple_before] + prior3)
+        self.weight = [np.log10(p, out=p) for p in (p1, p2, p3)]
 
     def traverse(self) -> np.ndarray:
         """Weight of each text's path.  Lanes read their tokens side by side, each carrying its state.
@@ -218,7 +236,7 @@ class BackoffAutomaton:
         inside = begin > first[:-1][text]
         order = np.argsort(-size, kind="stable")
         text, begin, size, inside = text[order], begin[order], size[order], inside[order]
-        state = np.where(inside, 0, self.start)
+        state = np.where(inside, 0, self.start).astype(np.int32)
         weight = np.zeros(len(text))
         for step in (2, 1):
             ahead = np.flatnonzero(inside)
@@ -231,7 +249,7 @@ class BackoffAutomaton:
 
     def _read(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after the tokens ``at`` these places, and the weights of the arcs taken."""
-        state, after, weight = state.copy(), np.full(len(state), -1), np.zeros(len(state))
+        state, after, weight = state.copy(), np.full(len(state), -1, np.int32), np.zeros(len(state))
         levels = ((2, self.grams.triple, (state > self.grams.n) & (state < self.start)), (1, self.grams.pair, None), (0, self.grams.code, None))
         for level, arcs, own in levels:
             if own is None:
@@ -283,11 +301,12 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
                 raise ValueError("a block's n-grams changed between two passes")
             return own
 
+        release()
         for i in range(table.num_rows):
             lengths, codes, hashes = (table.column(c)[i].as_py() for c in ("lengths", "codes", "hashes"))
             grams = _grams(lengths, codes, hashes)
             automaton = BackoffAutomaton(grams, of, n_tokens, n_distinct, starts or 0, prior2, prior3)
-            text, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+            text, n = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), len(lengths)
             base = np.bincount(text, automaton.weight[0][grams.code], n)
             known = np.bincount(text[automaton.known[grams.code]], minlength=n)
             own = pa.table([pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(automaton.traverse())], schema=out)
