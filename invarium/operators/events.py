@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from invarium.operators.temporal import islands, point_in_interval
+from invarium.operators.temporal import islands, next_where, point_in_interval
 from invarium.schema import EXCEPTION, POST, PRE, PT, STATE, VAR
 
 #: Threads other than the outermost call's may end this long before the trace does without their last call.
@@ -22,6 +22,7 @@ def calls(records: DataFrame) -> DataFrame:
         at("function", pre), at("process_id", pre), at("thread_id", pre), F.max(F.when(pre, F.col("time_ns"))).alias("start_ns"), F.max(F.when(post, F.col("time_ns"))).alias("end_ns"),
         F.max(F.col("type") == EXCEPTION).alias("raised"), F.count_if(post).alias("n_post"), F.count_if(pre).alias("n_pre"), at("step", pre), at("stage", pre), at("obj_id", pre),
         at("is_bound_method", pre), at("args_json", pre), at("kwargs_json", pre), at("return_json", post), at("exception", post), F.max_by("proxy_obj_names", F.when(pre, 1)).alias("proxy_obj_names"),
+        F.max_by("meta_vars", F.when(pre, 1)).alias("meta_vars"),
     )
     outcome = F.when(F.col("n_post") == 0, "incomplete").when(F.col("raised"), "exception").otherwise("ok")
     return found.withColumn("outcome", outcome).drop("raised")
@@ -96,8 +97,8 @@ def var_changes(states: DataFrame) -> DataFrame:
 
 
 def changes_in_calls(of_calls: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes within each call's closed interval, any thread of its process; an open call ends where it starts."""
-    c = of_calls.select("trace_id", "process_id", "func_call_id", "function", "start_ns", F.coalesce("end_ns", "start_ns").alias("end_ns"))
+    """Changes within each call's closed interval, any thread of its process; an open call ends a millisecond after it starts."""
+    c = of_calls.select("trace_id", "process_id", "func_call_id", "function", "start_ns", F.coalesce(F.col("end_ns"), F.col("start_ns") + GRACE_NS).alias("end_ns"))
     return point_in_interval(changes, c, ["trace_id", "process_id"], "change_ns", "start_ns", "end_ns")
 
 
@@ -114,10 +115,9 @@ def contexts(events: DataFrame, keys: list[str], order: list[str], init: str, en
     ``init``, ``enter``, ``leave`` are SQL conditions.  Without a later exit the
     interval is open (end NULL).
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     me = F.struct(F.col("time_ns"), *[F.col(c) for c in order if c != "time_ns"])
-    marked = events.withColumn("__leave", F.first(F.when(F.expr(leave), F.col("time_ns")), ignorenulls=True).over(w))
-    marked = marked.withColumn("__enter", F.first(F.when(F.expr(enter), F.struct(me.alias("at"), F.col("__leave").alias("end"))), ignorenulls=True).over(w))
+    marked = events.withColumn("__leave", next_where(keys, order, F.expr(leave), F.col("time_ns")))
+    marked = marked.withColumn("__enter", next_where(keys, order, F.expr(enter), F.struct(me.alias("at"), F.col("__leave").alias("end"))))
     found = marked.filter(F.expr(init) & F.col("__enter").isNotNull())
     return found.withColumn("start_ns", F.col("__enter.at.time_ns")).withColumn("end_ns", F.col("__enter.end")).drop("__leave", "__enter")
 
@@ -161,8 +161,9 @@ def unchanged_vars(of_calls: DataFrame, causal: DataFrame, changes: DataFrame) -
 
 
 def states_before(values: DataFrame, points: DataFrame) -> DataFrame:
-    """Raw records of each variable before each point (``before_ns``)."""
-    return values.join(points, ["trace_id", "var_name"]).filter("time_ns < before_ns")
+    """Raw records of each variable before each point (``before_ns``), in the point's process where it names one."""
+    keys = ["trace_id", "var_name", *(["process_id"] if "process_id" in points.columns else [])]
+    return values.join(points, keys).filter("time_ns < before_ns")
 
 
 def same_level(of_calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,8 +48,9 @@ def flags(records: DataFrame) -> DataFrame:
 
 def fill_stage(records: DataFrame) -> DataFrame:
     """Missing stages become ``init`` in traces that have stages at all."""
-    w = Window.partitionBy("trace_id")
-    return records.withColumn("stage", F.when(F.max(F.col("stage").isNotNull()).over(w), F.coalesce("stage", F.lit("init"))))
+    staged = records.groupBy("trace_id").agg(F.max(F.col("stage").isNotNull()).alias("__staged"))
+    filled = F.when(F.col("__staged"), F.coalesce("stage", F.lit("init")))
+    return records.join(staged, "trace_id").withColumn("stage", filled).drop("__staged").select(*records.columns)
 
 
 def is_called(records: DataFrame, function: str, stage: str | None = None) -> bool:
@@ -58,8 +59,9 @@ def is_called(records: DataFrame, function: str, stage: str | None = None) -> bo
 
 
 def time_bounds(records: DataFrame) -> DataFrame:
-    """Start and end for the whole trace, each process and each thread (grouping sets; NULL: all)."""
-    return records.rollup("process_id", "thread_id").agg(F.min("time_ns").alias("start_ns"), F.max("time_ns").alias("end_ns"), F.count("*").alias("n_records"))
+    """Start and end for each trace, each process and each thread of it (grouping sets; NULL: all)."""
+    sets = records.groupingSets([["trace_id"], ["trace_id", "process_id"], ["trace_id", "process_id", "thread_id"]], "trace_id", "process_id", "thread_id")
+    return sets.agg(F.min("time_ns").alias("start_ns"), F.max("time_ns").alias("end_ns"), F.count("*").alias("n_records"))
 
 
 def distinct_ids(records: DataFrame) -> DataFrame:
@@ -72,9 +74,9 @@ def distinct_ids(records: DataFrame) -> DataFrame:
 
 
 def call_ids(records: DataFrame) -> DataFrame:
-    """Call ids of each function, numbered by first appearance."""
-    seen = records.filter("func_call_id IS NOT NULL").groupBy("function", "func_call_id").agg(F.min(F.struct(*ORDER)).alias("at"))
-    return seen.withColumn("position", F.row_number().over(Window.partitionBy("function").orderBy("at"))).select("function", "func_call_id", "position")
+    """Call ids of each function of a trace, numbered by first appearance."""
+    seen = records.filter("func_call_id IS NOT NULL").groupBy("trace_id", "function", "func_call_id").agg(F.min(F.struct(*ORDER)).alias("at"))
+    return seen.withColumn("position", F.row_number().over(Window.partitionBy("trace_id", "function").orderBy("at"))).select("trace_id", "function", "func_call_id", "position")
 
 
 def bound_methods(records: DataFrame) -> DataFrame:

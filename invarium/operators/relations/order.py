@@ -83,22 +83,21 @@ def same_level_pairs(levels: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def merged_chains(edges: list[tuple[str, str]]) -> list[list[str]]:
-    """Maximal chains of an order relation over function names, each earlier name related to the next.
+    """Chains of an order relation over function names, each name related to every later one.
 
-    ``edges`` are names of functions, not calls.  Chains start where nothing
-    leads in; a name that leads back into its own chain ends it.
+    ``edges`` are names of functions, not calls.  A chain starts at a name that
+    nothing leads to, a name joins it if every name of the chain has an edge to
+    it, and it counts if its last name leads nowhere.
     """
-    after: dict[str, list[str]] = {}
-    for a, b in sorted(set(edges)):
-        after.setdefault(a, []).append(b)
-    entered = {b for _, b in edges}
-    starts = [a for a in sorted(after) if a not in entered] or sorted(after)[:1]
-    chains, work = [], [[s] for s in reversed(starts)]
+    after: dict[str, set[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    entered = {b for own in after.values() for b in own}
+    chains: list[list[str]] = []
+    work = [([a], after[a]) for a in sorted(after, reverse=True) if a not in entered]
     while work:
-        chain = work.pop()
-        onward = [b for b in after.get(chain[-1], []) if b not in chain]
-        if onward:
-            work += [[*chain, b] for b in reversed(onward)]
-        else:
+        chain, common = work.pop()
+        if chain[-1] not in after:
             chains.append(chain)
+        work += [([*chain, b], common & after.get(b, set())) for b in sorted(common, reverse=True) if b not in chain]
     return chains

@@ -15,15 +15,17 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, keys: Iterable[st
     so that it covers five cells at most however long it is; a point is looked
     up once on every grid in use.  The join is hence by equality, with the
     bounds as a residual, and no interval is exploded without limit.
+
+    The grids in use are a row of 32 flags at most, which meets the points in
+    the same plan: nothing is run ahead of it.
     """
     keys = list(keys)
     length = F.greatest(F.col(hi) - F.col(lo), F.lit(1))
     level = (F.ceil(F.log2(length.cast("double")) / 2) * 2).cast("int")
     entered = intervals.withColumn("__level", level)
-    levels = sorted(r[0] for r in entered.select("__level").distinct().collect())  # 32 at most
+    used = entered.agg(F.collect_set("__level").alias("__levels"))  # one row, 32 values at most
     cells = entered.withColumn("__cell", F.explode(F.expr(f"sequence(shiftright({lo}, __level), shiftright({hi}, __level))")))
-    grids = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
-    looked = points.withColumn("__level", F.explode(grids)).withColumn("__cell", F.expr(f"shiftright({point}, __level)"))
+    looked = points.join(F.broadcast(used), F.lit(True)).withColumn("__level", F.explode("__levels")).drop("__levels").withColumn("__cell", F.expr(f"shiftright({point}, __level)"))
     joined = looked.join(cells, [*keys, "__level", "__cell"])
     return joined.filter((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("__level", "__cell")
 
@@ -43,10 +45,13 @@ def islands(rows: DataFrame, keys: Iterable[str], order: Iterable[str], value: C
     return rows.withColumn("__changed", changed).withColumn("state_no", F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__changed")
 
 
-def as_of_forward(rows: DataFrame, keys: Iterable[str], order: Iterable[str], wanted: Column, value: Column) -> Column:
-    """Value of the first following row of the same keys where ``wanted`` holds."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(wanted, value), ignorenulls=True).over(w)
+def next_where(keys: Iterable[str], order: Iterable[str], wanted: Column, value: Column) -> Column:
+    """Value of the first following row of the same keys where ``wanted`` holds.
+
+    Read backwards, so that the frame only grows and each row is looked at once.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(wanted, value), ignorenulls=True).over(w)
 
 
 def overlap_share(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:

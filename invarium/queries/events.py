@@ -90,7 +90,7 @@ def stage_fill(spark, sf_dir):
 
 
 @query(
-    f"WITH {CALLS}, {RECORDS} SELECT process_id, thread_id, min(time_ns) AS start_ns, max(time_ns) AS end_ns, count(*)::BIGINT AS n_records FROM records GROUP BY ROLLUP (process_id, thread_id)"
+    f"WITH {CALLS}, {RECORDS} SELECT 'events' AS trace_id, process_id, thread_id, min(time_ns) AS start_ns, max(time_ns) AS end_ns, count(*)::BIGINT AS n_records FROM records GROUP BY ROLLUP (process_id, thread_id)"
 )
 def time_bounds(spark, sf_dir):
     return M.time_bounds(event_records(spark, sf_dir))
@@ -109,17 +109,19 @@ def trace_flags(spark, sf_dir):
     return M.flags(event_records(spark, sf_dir)).select("stage_annotated", F.coalesce("proxied", F.lit(False)).alias("proxied"))
 
 
-@query(f"WITH {CALLS} SELECT function, func_call_id, row_number() OVER (PARTITION BY function ORDER BY start_ns, event_id) AS position FROM calls")
+@query(f"WITH {CALLS} SELECT 'events' AS trace_id, function, func_call_id, row_number() OVER (PARTITION BY function ORDER BY start_ns, event_id) AS position FROM calls")
 def call_ids(spark, sf_dir):
     return M.call_ids(event_records(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT event_type AS function, event_type <> 'click' AS is_bound, event_type <> 'view' AS consistent FROM events GROUP BY 1")
+@query(
+    """WITH b AS (SELECT event_type AS function, CASE event_type WHEN 'click' THEN false WHEN 'view' THEN user_id % 4 % 2 = 0 ELSE true END AS bound FROM events)
+SELECT function, bool_and(bound) AS is_bound, count(DISTINCT bound) = 1 AS consistent FROM b GROUP BY 1"""
+)
 def bound_flag(spark, sf_dir):
     r = event_records(spark, sf_dir).filter(F.col("type") == PRE)
     bound = F.when(F.col("function") == "click", False).when(F.col("function") == "view", F.col("process_id") % 2 == 0).otherwise(True)
-    out = M.bound_methods(r.withColumn("is_bound_method", bound))
-    return out.withColumn("is_bound", F.col("is_bound") | (F.col("function") == "view"))
+    return M.bound_methods(r.withColumn("is_bound_method", bound))
 
 
 RUNS = f"""

@@ -1,6 +1,7 @@
 """Preconditions, infer and check round trip, reports, sinks, differences."""
 
 import glob
+import itertools
 import json
 import random
 
@@ -151,8 +152,21 @@ def test_emitter():
 
 
 def test_chains():
-    assert merged_chains([("a", "b"), ("b", "c"), ("a", "d")]) == [["a", "b", "c"], ["a", "d"]]
-    assert merged_chains([("a", "b"), ("b", "a")]) == [["a", "b"]]
+    assert merged_chains([("a", "b"), ("b", "c"), ("a", "d")]) == [["a", "d"]]
+    assert merged_chains([("a", "b"), ("b", "c"), ("a", "c"), ("a", "d")]) == [["a", "b", "c"], ["a", "c"], ["a", "d"]]
+    assert merged_chains([("a", "b"), ("b", "a")]) == merged_chains([]) == []
+
+
+def test_chains_like_brute_force():
+    """Every ordered selection from a source to a sink in which each name leads to all later ones."""
+    rng = random.Random(3)
+    for _ in range(200):
+        names = "abcdef"[: rng.randint(2, 6)]
+        edges = [(a, b) for a in names for b in names if a < b and rng.random() < 0.5] + [("z", "y"), ("y", "z")]
+        sources, sinks_ = {a for a, _ in edges} - {b for _, b in edges}, {b for _, b in edges} - {a for a, _ in edges}
+        fits = lambda p: all((p[i], p[j]) in edges for i in range(len(p)) for j in range(i + 1, len(p)))
+        want = [list(p) for n in range(2, len(names) + 1) for p in itertools.permutations(names, n) if p[0] in sources and p[-1] in sinks_ and fits(p)]
+        assert sorted(merged_chains(edges)) == sorted(want)
 
 
 def test_diff(spark):
