@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from invarium.schema import kind_of
 
-#: What a field's name must start with to be used, and what its last part must not be.
+#: What a field's name must start with to be used, and fields that never are.
 FIELD_PREFIXES = ("process_id", "thread_id", "meta_vars", "var_name", "function", "exception", "attributes", "var_type", "context_managers")
 UNUSED_FIELDS = ("func_call_id", "process_id", "thread_id", "time", "type", "mode", "stack_trace", "obj_id")
 #: Distinct values up to which a constant stays one: strings, others.
@@ -31,14 +31,18 @@ def capped(examples: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
     return examples.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
-def usable(fields: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Fields by prefix, without the relation's own keys, that every record of their example has."""
+def usable(fields: DataFrame, skip: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Fields by prefix, without the relation's own, that every record of their example has.
+
+    ``skip``: fields that hypotheses of a relation (the part of ``hyp_id`` before
+    its first ``|``) must not use.
+    """
     wanted = F.lit(False)
     for p in FIELD_PREFIXES:
         wanted = wanted | F.col("field").startswith(p)
-    rows = fields.filter(wanted & F.col("value_json").isNotNull())
-    for s in skip:
-        rows = rows.filter(~F.contains("field", F.lit(s)))
+    rows = fields.filter(wanted & F.col("value_json").isNotNull() & ~F.col("field").isin(*UNUSED_FIELDS))
+    for relation, names in (skip or {}).items():
+        rows = rows.filter((F.substring_index("hyp_id", "|", 1) != relation) | ~F.col("field").isin(*names))
     size = fields.groupBy("hyp_id", "example_id").agg(F.count_distinct("record_pos").alias("n_records"))
     full = rows.groupBy("hyp_id", "example_id", "field").agg(F.count_distinct("record_pos").alias("n_with"))
     keep = full.join(size, ["hyp_id", "example_id"]).filter("n_with = n_records").select("hyp_id", "example_id", "field", "n_records")
@@ -167,7 +171,10 @@ def search(table: pd.DataFrame, depth: int = MOST_DEPTH) -> list[list[str]] | No
         return None
     if negatives.empty:
         return []
-    return found if solve(positives, depth) else None
+    if not solve(positives, depth):
+        return None
+    # a conjunction that a more general one implies is needless
+    return [c for c in found if not any(set(d) < set(c) for d in found)]
 
 
 def learned(tested: DataFrame, inverted: bool = True) -> DataFrame:

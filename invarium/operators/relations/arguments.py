@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +74,37 @@ def constant_outputs(calls: DataFrame, properties: DataFrame) -> DataFrame:
     return out.join(always, "function").withColumn("n_negative", F.col("n_calls") - F.col("n_positive")).drop("n_calls")
 
 
-def value_paths(calls: DataFrame, json: str, prefix: str, depth: int = 5) -> DataFrame:
-    """(func_call_id, function, path, value_json): scalars of a JSON text by path, list elements one by one."""
-    work = calls.filter(F.col(json).isNotNull()).select("func_call_id", "function", F.lit(prefix).alias("path"), F.try_parse_json(json).alias("v"))
-    out = None
-    for _ in range(depth):
-        schema = F.schema_of_variant("v")
-        leaves = work.filter(~schema.startswith("OBJECT") & ~schema.startswith("ARRAY")).select("func_call_id", "function", "path", F.to_json("v").alias("value_json"))
-        out = leaves if out is None else out.unionByName(leaves)
-        objects = work.filter(schema.startswith("OBJECT")).select("func_call_id", "function", "path", F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v"))
-        lists = work.filter(schema.startswith("ARRAY")).select("func_call_id", "function", "path", F.posexplode(F.col("v").cast("array<variant>")).alias("k", "v")).withColumn("k", F.col("k").cast("string"))
-        work = objects.unionByName(lists).select("func_call_id", "function", F.concat_ws(".", "path", "k").alias("path"), "v")
-    return out.filter("value_json <> 'null'")
+def value_paths(calls: DataFrame, json: str, prefix: str) -> DataFrame:
+    """(func_call_id, function, path, value_json): scalars of a JSON text by path, list elements one by one, at any depth.
+
+    One pass over the calls.  A text that is no JSON has no paths, nulls are no values.
+    """
+
+    def walk(path, value):
+        work = [(path, value)]
+        while work:
+            at, v = work.pop()
+            if isinstance(v, (dict, list)):
+                inner = v.items() if isinstance(v, dict) else enumerate(v)
+                work += [(f"{at}.{k}", x) for k, x in inner]
+            elif v is not None:
+                yield at, dumps(v, ensure_ascii=False)
+
+    def run(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            for call, function, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                try:
+                    value = loads(text)
+                except ValueError:
+                    continue
+                for path, found in walk(prefix, value):
+                    for column, x in zip(rows, (call, function, path, found)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], ["func_call_id", "function", "path", "value_json"])
+
+    texts = calls.filter(F.col(json).isNotNull()).select("func_call_id", "function", json)
+    return texts.mapInArrow(run, "func_call_id string, function string, path string, value_json string")
 
 
 def input_output(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -10,42 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invarium.functions.values import likelihood, short_name
+from invarium.functions.values import likelihood
 from invarium.operators import metadata as M
 from invarium.operators import preconditions as P
-from invarium.operators.events import same_level
-from invarium.operators.relations.contain import call_examples
-from invarium.operators.relations.order import cover_examples, lead_examples, same_level_pairs
-from invarium.schema import PT
+from invarium.plans.relations import COLUMNS, POOL, Trace, chosen, display, params, texts
 from invarium.sources.scratch import staged
 
-RELATIONS = ("contain", "cover", "lead")
+def examples(trace: Trace, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """(hyp_id, relation, first, second, trace_id, example_id, step, at_ns, positive, records) of all relations that are switched on."""
+    out = None
+    for r in chosen(trace, relations):
+        own = r.examples(trace, None).select(F.lit(r.name).alias("relation"), *COLUMNS)
+        out = own if out is None else out.unionByName(own)
+    return named(out)
 
 
-def pool_pairs(calls: DataFrame, run_limit: int) -> DataFrame:
-    """Pairs of functions that cover and lead look at: short runs, on one level somewhere."""
-    pool = M.function_pool(calls, ["start_ns", "func_call_id"], run_limit)
-    return same_level_pairs(same_level(calls, list(PT)), pool)
-
-
-def examples(calls: DataFrame, relations: tuple[str, ...] = RELATIONS, run_limit: int = M.RUN_LIMIT_ORDER) -> DataFrame:
-    """(hyp_id, relation, first, second, example_id, positive, step, stage) of all relations that are switched on."""
-    columns = ["trace_id", "relation", "first", "second", "func_call_id", "step", "stage", "positive"]
-    parts = []
-    if "contain" in relations:
-        parents = calls.filter(~M.skipped(F.col("function")))
-        parts.append(call_examples(parents).select("trace_id", F.lit("contain").alias("relation"), F.col("parent").alias("first"), F.col("child").alias("second"), "func_call_id", "step", "stage", "positive"))
-    if {"cover", "lead"} & set(relations):
-        pairs = pool_pairs(calls, run_limit)
-        for name, make in (("cover", cover_examples), ("lead", lead_examples)):
-            if name in relations:
-                parts.append(make(calls, pairs).withColumn("relation", F.lit(name)).select(*columns))
-    if not parts:
-        raise ValueError(f"no relation of {RELATIONS} is switched on")
-    out = parts[0].select(*columns)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*columns))
-    return out.withColumn("hyp_id", F.concat_ws("|", "relation", "first", "second")).withColumn("example_id", F.concat_ws("|", "trace_id", "func_call_id"))
+def named(examples_: DataFrame) -> DataFrame:
+    out = examples_.withColumn("hyp_id", F.concat_ws("|", "relation", "first", "second")).withColumn("example_id", F.concat_ws("|", "trace_id", "example"))
+    return out.drop("example")
 
 
 def merged(examples_: DataFrame) -> DataFrame:
@@ -78,9 +60,9 @@ def argument_violations(required: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def fields(examples_: DataFrame) -> DataFrame:
-    """Record fields of the examples: a call's entry record."""
-    values = F.create_map(F.lit("meta_vars.step"), F.col("step").cast("string"), F.lit("meta_vars.stage"), F.concat(F.lit('"'), "stage", F.lit('"')))
-    rows = examples_.select("hyp_id", "example_id", "positive", F.lit(0).alias("record_pos"), F.explode(values).alias("field", "value_json"))
+    """Record fields of the examples, one row each."""
+    records = examples_.select("hyp_id", "example_id", "positive", F.posexplode("records").alias("record_pos", "record"))
+    rows = records.select("hyp_id", "example_id", "positive", "record_pos", F.explode("record").alias("field", "value_json"))
     return rows.filter("value_json IS NOT NULL")
 
 
@@ -89,22 +71,16 @@ def identity(relation, first, second):
     return F.sha2(F.to_json(F.struct(relation.alias("relation"), first.alias("first"), second.alias("second"))).cast("binary"), 256)
 
 
-_TEXT = {"contain": "%s contains %s", "cover": "%s covers %s", "lead": "%s leads to %s"}
-
-
-def display(relation, first, second):
-    out = F.lit(None).cast("string")
-    for name, text in _TEXT.items():
-        out = F.when(relation == name, F.format_string(text, short_name(first), short_name(second))).otherwise(out)
-    return out
-
+def infer(calls: DataFrame, relations: tuple[str, ...] | None = None, run_limit: int = M.RUN_LIMIT_ORDER, records: DataFrame | None = None) -> DataFrame:
+    """Invariants with preconditions; hypotheses for which none is found have status ``failed``.
 
-def infer(calls: DataFrame, relations: tuple[str, ...] = RELATIONS, run_limit: int = M.RUN_LIMIT_ORDER) -> DataFrame:
-    """Invariants with preconditions; hypotheses for which none is found have status ``failed``."""
-    ex = staged(examples(calls, relations, run_limit), "examples")
+    ``relations``: names of ``plans.relations.POOL``, by default all that
+    ``calls`` (and ``records``, for variables) have the columns for.
+    """
+    ex = staged(examples(Trace(calls, records, run_limit), relations), "examples")
     kept = pruned(merged(ex))
     few = staged(P.capped(ex.join(kept.select("hyp_id"), "hyp_id", "left_semi")), "capped")
-    f = P.usable(fields(few), skip=("function",))
+    f = P.usable(fields(few), skip={r.name: r.skip for r in POOL.values()})
     clauses = P.merged_clauses(P.local_clauses(f))
     tested = staged(P.evaluated(fields(few), clauses), "tested")
     conditions = P.learned(tested)
@@ -119,9 +95,8 @@ def infer(calls: DataFrame, relations: tuple[str, ...] = RELATIONS, run_limit: i
 
 def as_invariants(found: DataFrame) -> DataFrame:
     """Rows in the exchange model of invariant files, preconditions as text."""
-    param = lambda c: F.struct(F.lit("APIParam").alias("param_type"), F.col(c).alias("api_full_name"))
     return found.filter("status <> 'failed'").select(
-        "text_description", "relation", F.array(param("first"), param("second")).alias("params"), F.to_json(F.struct(F.col("inverted"), F.col("precondition").alias("preconditions"))).alias("precondition"),
+        "text_description", "relation", params(F.col("relation"), F.col("first"), F.col("second")).alias("params"), F.to_json(F.struct(F.col("inverted"), F.col("precondition").alias("preconditions"))).alias("precondition"),
         F.col("n_positive").alias("num_positive_examples"), F.col("n_negative").alias("num_negative_examples"),
     )
 
@@ -129,7 +104,7 @@ def as_invariants(found: DataFrame) -> DataFrame:
 def from_invariants(saved: DataFrame) -> DataFrame:
     """The inverse of ``as_invariants``."""
     p = F.from_json("precondition", "inverted boolean, preconditions string")
-    first, second = F.col("params")[0]["api_full_name"], F.col("params")[1]["api_full_name"]
+    first, second = texts(F.col("relation"), F.col("params"))
     return saved.select(
         identity(F.col("relation"), first, second).alias("inv_id"), F.concat_ws("|", "relation", first, second).alias("hyp_id"), "text_description", "relation", first.alias("first"), second.alias("second"),
         F.col("num_positive_examples").alias("n_positive"), F.col("num_negative_examples").alias("n_negative"), p["inverted"].alias("inverted"), p["preconditions"].alias("precondition"),

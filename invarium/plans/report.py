@@ -41,7 +41,9 @@ def summary(results: DataFrame) -> DataFrame:
     """One row for each violation: label, relation, first and last step, occurrences (1 without records)."""
     failed = results.filter("NOT passed")
     known = F.filter("steps", lambda x: x.isNotNull())
-    occurrences = F.when(F.coalesce(F.size("steps"), F.lit(0)) > 0, F.size("steps")).otherwise(1)
+    listed = F.size("steps").cast("long")
+    n = F.coalesce("n_violations", listed) if "n_violations" in results.columns else listed
+    occurrences = F.when(F.coalesce(listed, F.lit(0)) > 0, n).otherwise(1)
     return failed.select("trace_id", "inv_id", F.col("label").alias("display_name"), F.col("relation").alias("relation_type"), F.array_min(known).alias("first_step"), F.array_max(known).alias("last_step"), occurrences.cast("long").alias("occurrences"))
 
 
