@@ -131,9 +131,12 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     zero or hold a null or non-finite component take no part, nor do rows with
     a null id or a length other than the most common one.  Rows that repeat id
     and vector count once.  Ties go to the smaller id; equal vectors are one
-    point of the index.  No usable row: an empty table.
+    point of the index.  No usable row: an empty table.  ``key`` is an integer
+    (else ValueError); other columns play no part.
     """
     spark = rows.sparkSession
+    if dict(rows.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} is no integer")
     dtype = "<f4" if dict(rows.dtypes)[vector] == "array<float>" else "<f8"
     valid = rows.filter(usable(vector) & F.col(f"`{key}`").isNotNull())
     lengths = valid.groupBy(F.size(f"`{vector}`").alias("n")).count().orderBy(F.desc("count"), "n").first()

@@ -1,11 +1,14 @@
 """Quality classifier with hierarchical empirical Bayes (operator 6).
 
 A logistic model over shape features of the text gives each document's own
-evidence.  Sites share quality: the mean evidence of a host is shrunk toward the
-global mean, that of a path toward its host.  How strongly is estimated from the
+evidence.  Sites share quality: a document's outcome is its label where it has
+one and its evidence elsewhere, and a host's posterior is the mean of a Beta
+distribution of the global prior and its outcomes, a path's of its host's
+posterior and its own outcomes.  How much the prior weighs is estimated from the
 data by moments: a level whose groups hardly differ gets a strong prior, and a
 group with few documents stays near its parent.  A document's posterior combines
-its evidence with the prior of its path without itself.
+its evidence with the prior of its path without itself, so that no label speaks
+for its own document.
 
 All sums are grouped aggregations of three numbers a document, so that a host
 with a third of all documents is pre-aggregated in every task.
@@ -87,27 +90,30 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
 
     ``labels``: (key, label 0 or 1) of some; at most ``sample`` of them fit the
     logistic model, everything else covers all documents.  Null and empty texts
-    have no words and are judged by that; null hosts and paths are groups of
-    their own; null keys are judged and cannot match a label; repeated rows
-    count each; without labels the evidence is one half everywhere; an empty
-    table gives an empty table.
+    have no words and are judged by that, texts of any length are measured whole;
+    null hosts and paths are groups of their own; null keys are judged and cannot
+    match a label; repeated rows count each, repeated labels are one, their mean,
+    which the logistic model takes as 1 from one half on; ties at ``threshold``
+    are kept; without labels the evidence is one half everywhere; an empty table
+    gives an empty table; other columns play no part.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(f"`{text}`").cast("string").alias("text"))
     measures = staged(measured(rows, ["doc_id", "host", "path"]), "measures")
     known = labels.filter(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y"))
+    known = staged(known.groupBy("doc_id").agg(F.avg("y").alias("y")), "labels")
     features = F.array(*[F.expr(f) for f in FEATURES]).alias("x")
     labelled = measures.join(known, "doc_id")
     # a share by hash that is sure to be near the bound, so that no task sends more than its part of the sample
     share = min(1.0, 1.05 * sample / max(1, known.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    fitted = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(features, "y").collect()
+    fitted = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(features, (F.col("y") >= 0.5).cast("double").alias("y")).collect()
     model = fit_logistic(np.array([r.x for r in fitted], float).reshape(-1, len(FEATURES)), np.array([r.y for r in fitted], float))
 
     p = F.least(F.greatest(1 / (1 + F.exp(-model.log_odds())), F.lit(1e-6)), F.lit(1 - 1e-6))
-    judged = staged(measures.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.coalesce("path", F.lit("")).alias("path"), F.col("path").isNull().alias("no_path"), p.alias("evidence")), "evidence")
+    judged = staged(measures.join(known, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.coalesce("path", F.lit("")).alias("path"), F.col("path").isNull().alias("no_path"), p.alias("evidence"), F.coalesce("y", p).alias("outcome")), "evidence")
     at_host, at_path = ["host", "no_host"], ["host", "no_host", "path", "no_path"]
-    sums = [F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("s2")]
+    sums = [F.count("*").alias("n"), F.sum("outcome").alias("s"), F.sum(F.col("outcome") * F.col("outcome")).alias("s2")]
     paths = staged(judged.groupBy(*at_path).agg(*sums), "paths")
     hosts = paths.groupBy(*at_host).agg(*[F.sum(c).alias(c) for c in ("n", "s", "s2")])
     overall = hosts.agg(F.sum("s"), F.sum("n")).first()
@@ -117,7 +123,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     paths = staged(paths.join(hosts, at_host).withColumn("parent", F.col("host_quality")), "paths-of-hosts")
     held = _strength(paths)
     paths = staged(paths.withColumn("path_quality", (F.col("s") + held * F.col("parent")) / (F.col("n") + held)).select(*at_path, "n", "s", "host_quality", "path_quality"), "path-quality")
-    others = (F.col("s") - F.col("evidence") + held * F.col("host_quality")) / (F.col("n") - 1 + held)
+    others = (F.col("s") - F.col("outcome") + held * F.col("host_quality")) / (F.col("n") - 1 + held)
     prior = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = _logit(F.col("evidence")) - float(np.log(model.rate / (1 - model.rate))) + _logit(prior)
     scored = judged.join(paths, at_path).withColumn("quality", 1 / (1 + F.exp(-odds)))
