@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,40 +39,74 @@ def count_leaves(fields: DataFrame, keys: list[str]) -> DataFrame:
     return fields.groupBy(*keys).agg(F.count("*").alias("n_leaves"))
 
 
-def greedy_match(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Left rows in order take the unused right row with the fewest differences (the earlier of equals)."""
-    used, out = set(), []
-    for left, own in pairs.sort_values(["left_no", "n_diff", "right_no"]).groupby("left_no", sort=True):
-        for right, n in zip(own["right_no"], own["n_diff"]):
-            if right not in used:
-                used.add(right)
-                out.append((left, right, n))
+def greedy_match(left: list[tuple[int, dict]], right: list[tuple[int, dict]]) -> list[tuple[int, int, int]]:
+    """(left_no, right_no, n_diff): left rows in order take the unused right row, no earlier than they are, with the fewest differences.
+
+    Of equals the earlier one; rows with different ``type`` do not match.
+    Volatile keys do not count.  Rows of equal content are looked at once, each
+    content knowing its next unused row.
+    """
+    plain = lambda fields: tuple(sorted((k, v) for k, v in fields.items() if v is not None and not k.endswith(VOLATILE)))
+    places: dict[tuple, list[int]] = {}
+    for no, fields in sorted(right, key=lambda r: r[0]):
+        places.setdefault((plain(fields), fields.get("type")), []).append(no)
+    contents, numbers = list(places), list(places.values())
+    sets = [frozenset(c[0]) for c in contents]
+    follow = [list(range(len(n) + 1)) for n in numbers]  # the next unused row at or after a place
+
+    def unused(c: int, at: int) -> int:
+        own, path = follow[c], []
+        while own[at] != at:
+            path.append(at)
+            at = own[at]
+        for x in path:
+            own[x] = at
+        return at
+
+    ranked: dict[tuple, list[tuple[int, list[int]]]] = {}
+
+    def levels(content: tuple, kind) -> list[tuple[int, list[int]]]:
+        """Right contents by their number of differences."""
+        if (content, kind) not in ranked:
+            by: dict[int, list[int]] = {}
+            mine = set(content)
+            for c, (_, other) in enumerate(contents):
+                if kind is None or other is None or kind == other:
+                    by.setdefault(len({k for k, _ in mine ^ sets[c]}), []).append(c)
+            ranked[content, kind] = sorted(by.items())
+        return ranked[content, kind]
+
+    out = []
+    for no, fields in sorted(left, key=lambda r: r[0]):
+        for n_diff, own in levels(plain(fields), fields.get("type")):
+            at = [(numbers[c][p], c, p) for c in own if (p := unused(c, bisect_left(numbers[c], no))) < len(numbers[c])]
+            if at:
+                right_no, c, p = min(at)
+                follow[c][p] = p + 1
+                out.append((no, right_no, n_diff))
                 break
-    return pd.DataFrame(out, columns=["left_no", "right_no", "n_diff"])
+    return out
 
 
-def best_matches(left: DataFrame, right: DataFrame, keys: list[str], window: int) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy matches of rows of the same ``keys``: (keys, left_no, right_no, n_diff).
 
     ``left`` and ``right`` are (keys, no, fields MAP<STRING,STRING>); a row looks
-    ``window`` rows ahead, so that candidates grow with the rows, not their
-    square.  The greedy choice is sequential within a key.
+    at all rows from its own number on.  The choice is sequential within a key,
+    which one task holds: its work grows with rows times distinct contents.
     """
-    a = left.select(*keys, F.col("no").alias("left_no"), F.col("fields").alias("a"), F.explode(F.sequence(F.col("no"), F.col("no") + window)).alias("right_no"))
-    b = right.select(*keys, F.col("no").alias("right_no"), F.col("fields").alias("b"))
-    pairs = a.join(b, [*keys, "right_no"])
-    names = F.filter(F.array_union(F.map_keys("a"), F.map_keys("b")), lambda k: ~volatile(k))
-    n = F.size(F.filter(names, lambda k: ~F.try_element_at("a", k).eqNullSafe(F.try_element_at("b", k))))
-    scored = pairs.select(*keys, "left_no", "right_no", n.cast("long").alias("n_diff"))
     kinds = dict(left.dtypes)
+    columns = [*keys, "left_no", "right_no", "n_diff"]
 
-    def match(key, pdf):
-        found = greedy_match(pdf)
-        for name, value in zip(reversed(keys), reversed(key)):
-            found.insert(0, name, value)
-        return found
+    def match(key, ours, theirs):
+        if ours.empty or theirs.empty:
+            return pd.DataFrame([], columns=columns)
+        rows = lambda pdf: list(zip(pdf["no"].tolist(), (dict(f) for f in pdf["fields"])))
+        return pd.DataFrame([(*key, *m) for m in greedy_match(rows(ours), rows(theirs))], columns=columns)
 
-    return scored.groupBy(*keys).applyInPandas(match, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", left_no long, right_no long, n_diff long")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", left_no long, right_no long, n_diff long"
+    own = [df.select(*keys, "no", "fields").groupBy(*keys) for df in (left, right)]
+    return own[0].cogroup(own[1]).applyInPandas(match, schema)
 
 
 def edits(matches: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], limit: int = EDIT_LIMIT) -> DataFrame:

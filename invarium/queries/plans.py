@@ -453,13 +453,13 @@ def _sides(spark, sf_dir):
 @query()
 def best_match(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return D.best_matches(left, right, ["g"], window=8)
+    return D.best_matches(left, right, ["g"])
 
 
 @query()
 def trace_edits(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return D.edits(D.best_matches(left, right, ["g"], window=8), left, right, ["g"], limit=1)
+    return D.edits(D.best_matches(left, right, ["g"]), left, right, ["g"], limit=1)
 
 
 @query(

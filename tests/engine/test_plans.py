@@ -169,11 +169,34 @@ def test_chains_like_brute_force():
         assert sorted(merged_chains(edges)) == sorted(want)
 
 
+def test_greedy_match_like_brute_force():
+    rng = random.Random(8)
+
+    def row():
+        return {k: str(rng.randrange(3)) for k in ("a", "b", "c", "type") if rng.random() < 0.7} | {"my_id": str(rng.randrange(9))}
+
+    for _ in range(60):
+        left, right = [(i, row()) for i in range(rng.randrange(25))], [(i, row()) for i in range(rng.randrange(25))]
+        used, want = set(), []
+        for i, x in left:
+            best = None
+            for j, y in right:
+                if j < i or j in used or ("type" in x and "type" in y and x["type"] != y["type"]):
+                    continue
+                n = sum(x.get(k) != y.get(k) for k in {*x, *y} if k != "my_id")
+                if best is None or n < best[1]:
+                    best = (j, n)
+            if best:
+                used.add(best[0])
+                want.append((i, *best))
+        assert D.greedy_match(left, right) == want
+
+
 def test_diff(spark):
     side = lambda rows: spark.createDataFrame([("x", n, f) for n, f in rows], "k string, no long, fields map<string,string>")
     left, right = side([(1, {"a": "1", "my_id": "9"}), (2, {"a": "2"}), (3, {"z": "1", "y": "2"})]), side([(1, {"a": "2"}), (2, {"a": "1", "my_id": "7"}), (3, {"q": "1"})])
-    m = {(r.left_no, r.right_no, r.n_diff) for r in D.best_matches(left, right, ["k"], 5).collect()}
+    m = {(r.left_no, r.right_no, r.n_diff) for r in D.best_matches(left, right, ["k"]).collect()}
     assert m == {(1, 2, 0), (2, 3, 2)}
-    e = {(r.no, r.kind) for r in D.edits(D.best_matches(left, right, ["k"], 5), left, right, ["k"], 1).collect()}
+    e = {(r.no, r.kind) for r in D.edits(D.best_matches(left, right, ["k"]), left, right, ["k"], 1).collect()}
     assert e == {(2, "delete"), (3, "delete"), (1, "insert"), (3, "insert")}
     assert spark.range(1).select(D.without_common(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("a"), F.lit(1))).alias("m")).first().m == {"b": 2}
