@@ -101,12 +101,14 @@ def best_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     def match(key, ours, theirs):
         if ours.empty or theirs.empty:
             return pd.DataFrame([], columns=columns)
-        rows = lambda pdf: list(zip(pdf["no"].tolist(), (dict(f) for f in pdf["fields"])))
+        rows = lambda pdf: list(zip(pdf.iloc[:, -2].tolist(), (dict(f) for f in pdf.iloc[:, -1])))
         return pd.DataFrame([(*key, *m) for m in greedy_match(rows(ours), rows(theirs))], columns=columns)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", left_no long, right_no long, n_diff long"
-    own = [df.select(*keys, "no", "fields").groupBy(*keys) for df in (left, right)]
-    return own[0].cogroup(own[1]).applyInPandas(match, schema)
+    ours = left.select(*keys, "no", "fields").groupBy(*keys)
+    names = [f"right_{k}" for k in keys]  # both sides may come from one table
+    theirs = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("no").alias("right_no"), F.col("fields").alias("right_fields")).groupBy(*names)
+    return ours.cogroup(theirs).applyInPandas(match, schema)
 
 
 def edits(matches: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], limit: int = EDIT_LIMIT) -> DataFrame:
