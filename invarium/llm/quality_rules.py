@@ -232,6 +232,6 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     value.  Two passes over the texts, no shuffle of them.
     """
     model = fit_label_model(measured(docs, [], text))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__body"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("__row"), F.col(f"`{text}`").alias("__body"))
     kept = judged(measured(row, ["__row"], "__body"), model).filter("kept")
-    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
