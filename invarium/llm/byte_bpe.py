@@ -25,7 +25,7 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", t
     play no part.  No shuffle.
     """
     small_batches(docs.sparkSession)
-    keys = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    keys = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def encode(batches):
         encoder = rank_encoder(ranks, pattern)
@@ -38,7 +38,12 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", t
 
 
 def bpe_decode(tokens: DataFrame, ranks: str) -> DataFrame:
-    """Adds ``decoded`` (binary), the raw bytes of ``ids``; null ids give empty bytes."""
+    """(doc_id, ids, decoded): the raw bytes of the ids, which need not be valid text.
+
+    Null or empty ids give empty bytes; a null id among them gives no bytes; an
+    id beyond the ranks fails the query.  Repeated rows are decoded each, an
+    empty table gives an empty table; other columns play no part.
+    """
     rows = tokens.select("doc_id", "ids")
 
     def decode(batches):

@@ -36,6 +36,8 @@ from invarium.llm.shared import scratch_path, shuffle_partitions, small_batches
 from invarium.llm.tokenizing import file_encoder
 
 WINDOW, ZERO_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Documents of a group of the Merkle tree, as a power of two.
+GROUP_BITS = 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: zlib's polynomial, reflected
@@ -139,7 +141,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     dtype = {16: "<u2", 32: "<u4"}[id_bits]
 
@@ -218,9 +220,12 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
 
 
 def _pack_roots(recipes: DataFrame) -> DataFrame:
-    """Merkle root of each pack's documents, in order."""
+    """Merkle root of each pack: of groups of 2^``GROUP_BITS`` documents, in order, so that no task folds a whole pack's."""
     folded = F.udf(lambda nodes: merkle([bytes(x) for x in nodes]), "binary")
-    packs = recipes.groupBy("pack").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "root"))).alias("nodes"))
+    part = F.shiftright("seq", GROUP_BITS)
+    groups = recipes.groupBy("pack", part.alias("part")).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "root"))).alias("nodes"))
+    groups = groups.select("pack", "part", "n_docs", "n_tokens", folded(F.col("nodes.root")).alias("root"))
+    packs = groups.groupBy("pack").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "root"))).alias("nodes"))
     return packs.select("pack", "n_docs", "n_tokens", folded(F.col("nodes.root")).alias("root"))
 
 
@@ -245,7 +250,7 @@ class TokenStore:
     def read_ids(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids): every document's payloads in order, little-endian."""
         parts = self._references().join(self.chunks(), "key").groupBy("pack", "seq").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-        ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
+        ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["payload"])), ""))  # in one go, not one chunk after the other
         return self._placed(parts.select("pack", "seq", ids.alias("ids")), "ids")
 
     def read_digests(self) -> DataFrame:
