@@ -128,8 +128,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least_chars: int = 1, keep_
     drops = repeated_lines(docs, min_docs, least_chars, keep_first, key, text, log2_bits).select("row", F.array_distinct("lines").alias("drop"))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text], body.alias("text"), row_key(key, text).alias("row"))
-    rows = rows.withColumn("lines", F.split("text", "\n", -1))
-    joined = rows.join(drops, "row", "left")
+    joined = rows.join(drops, "row", "left").withColumn("lines", F.split("text", "\n", -1))  # lines are not shuffled
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     # one struct, so that the lines are split once, whatever the plan
     kept = F.transform(F.array(F.struct(F.col("lines").alias("l"), left.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n"))[0]
