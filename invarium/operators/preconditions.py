@@ -23,6 +23,8 @@ UNUSED_FIELDS = ("func_call_id", "process_id", "thread_id", "time", "type", "mod
 MOST_STRINGS, MOST_OTHERS = 4, 1
 MOST_EXAMPLES, MOST_DEPTH = 5000, 8
 CONTEXT = "context_managers."
+#: Lists into which the conjunctions of one set of clauses are dealt.
+ID_LISTS = 64
 
 
 def capped(examples: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
@@ -117,19 +119,56 @@ def verdicts(tested: DataFrame) -> DataFrame:
     return n.join(left, "hyp_id", "left").select("hyp_id", "n_negative", F.coalesce("n_passing", F.col("n_negative")).alias("n_passing"), kind.alias("verdict"))
 
 
+def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(hyp_id, small, large): distinct sets of clauses (``hyp_id, clauses``, sorted) that lie in another, itself included.
+
+    A set is entered under its rarest clause, and looked up with every clause of
+    the other; the empty set lies in all.
+    """
+    few = small.select("hyp_id", F.col("clauses").alias("small")).distinct()
+    many = large.select("hyp_id", F.col("clauses").alias("large")).distinct()
+    own = few.select("hyp_id", "small", F.explode("small").alias("clause"))
+    asked = many.select("hyp_id", "large", F.explode("large").alias("clause"))
+    known = asked.groupBy("hyp_id", "clause").agg(F.count("*").alias("n"))
+    rarest = own.join(known, ["hyp_id", "clause"], "left").groupBy("hyp_id", "small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "clause"))["clause"].alias("clause"))
+    found = rarest.join(asked, ["hyp_id", "clause"]).filter(F.size(F.array_except("small", "large")) == 0).select("hyp_id", "small", "large")
+    return found.unionByName(few.filter(F.size("small") == 0).join(many, "hyp_id").select("hyp_id", "small", "large"))
+
+
+def _sorted_sets(sets: DataFrame) -> DataFrame:
+    return sets.select("hyp_id", "conj_id", F.array_sort(F.array_distinct("clauses")).alias("clauses"))
+
+
 def implied(sets: DataFrame) -> DataFrame:
-    """Conjunctions that a more general one of the same hypothesis makes needless: (hyp_id, conj_id)."""
-    a = sets.select("hyp_id", "conj_id", "clauses")
-    b = sets.select("hyp_id", F.col("conj_id").alias("other"), F.col("clauses").alias("fewer"))
-    less = (F.size(F.array_except("fewer", "clauses")) == 0) & ((F.size("fewer") < F.size("clauses")) | (F.col("other") < F.col("conj_id")))
-    return a.join(b, "hyp_id").filter(F.col("conj_id") != F.col("other")).filter(less).select("hyp_id", "conj_id").distinct()
+    """Conjunctions that a more general one of the same hypothesis makes needless: (hyp_id, conj_id).
+
+    Sets of clauses are compared, each once, not conjunctions; of equal ones the
+    smallest id stays.
+    """
+    s = _sorted_sets(sets)
+    ids = s.groupBy("hyp_id", "clauses").agg(F.min("conj_id").alias("lo"), F.max("conj_id").alias("hi"))
+    general = _inside(ids, ids).filter(F.size("small") < F.size("large")).join(ids.withColumnRenamed("clauses", "small"), ["hyp_id", "small"])
+    below = general.groupBy("hyp_id", F.col("large").alias("clauses")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = ids.select("hyp_id", "clauses", F.col("lo").alias("least")).join(below, ["hyp_id", "clauses"], "left")
+    me = F.col("conj_id")
+    # another id than one's own: the least and the greatest are not both one's own
+    needless = (F.col("least") < me) | F.coalesce((F.col("lo") != me) | (F.col("hi") != me), F.lit(False))
+    return s.join(known, ["hyp_id", "clauses"]).filter(needless).select("hyp_id", "conj_id").distinct()
 
 
 def unsafe(tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hyp_id, conj_id, example_id): negatives that meet every clause of a conjunction."""
-    asked = sets.select("hyp_id", "conj_id", F.size("clauses").alias("n"), F.explode("clauses").alias("clause_id"))
-    hit = tested.filter("NOT positive AND holds").join(asked, ["hyp_id", "clause_id"]).groupBy("hyp_id", "conj_id", "example_id").agg(F.count("*").alias("m"), F.max("n").alias("n"))
-    return hit.filter("m = n").select("hyp_id", "conj_id", "example_id")
+    """(hyp_id, conj_id, example_id): negatives that meet every clause of a conjunction.
+
+    Distinct sets of clauses met and asked for are compared; what is then joined
+    are the result's own rows.
+    """
+    s = _sorted_sets(sets)
+    met = tested.filter("NOT positive").groupBy("hyp_id", "example_id").agg(F.array_sort(F.collect_set(F.when(F.col("holds"), F.col("clause_id")))).alias("met"))
+    pairs = _inside(s, met.select("hyp_id", F.col("met").alias("clauses")))
+    # an example's set names the sets in it, so that one join by set makes the rows
+    asked = met.join(pairs.select("hyp_id", F.col("large").alias("met"), F.col("small").alias("clauses")), ["hyp_id", "met"]).select("hyp_id", "example_id", "clauses")
+    ids = s.groupBy("hyp_id", "clauses", F.pmod(F.xxhash64("conj_id"), F.lit(ID_LISTS)).alias("part")).agg(F.collect_list("conj_id").alias("ids"))
+    return asked.join(ids, ["hyp_id", "clauses"]).select("hyp_id", F.explode("ids").alias("conj_id"), "example_id")
 
 
 def search(table: pd.DataFrame, depth: int = MOST_DEPTH) -> list[list[str]] | None:
