@@ -64,7 +64,7 @@ SELECT 'User' AS type_1, 'level' AS attr_1, 'User' AS type_2, 'level' AS attr_2,
 )
 def consistency(spark, sf_dir):
     states = E.attr_states(E.attributes(_records(spark, sf_dir)))
-    return variables.consistency(variables.state_pairs(states, ["trace_id"]))
+    return variables.typed(variables.pair_counts(states, ["trace_id"]))
 
 
 def _records(spark, sf_dir):
