@@ -36,6 +36,20 @@ def merged(examples_: DataFrame) -> DataFrame:
     return out.withColumn("likelihood", likelihood(F.col("n_positive"), F.col("n_negative")))
 
 
+def hypotheses(trace: Trace, relations: tuple[str, ...] | None) -> DataFrame:
+    """``merged`` of the ``examples``; relations that can count theirs make none."""
+    out = None
+    for r in chosen(trace, relations):
+        if r.counts is None:
+            own = merged(examples(trace, (r.name,)))
+        else:
+            n = r.counts(trace, None).groupBy("first", "second").agg(F.sum("n_positive").alias("n_positive"), F.sum("n_negative").alias("n_negative"))
+            n = n.select(F.concat_ws("|", F.lit(r.name), "first", "second").alias("hyp_id"), F.lit(r.name).alias("relation"), "first", "second", "n_positive", "n_negative")
+            own = n.withColumn("likelihood", likelihood(F.col("n_positive"), F.col("n_negative")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def pruned(hypotheses: DataFrame, least: int = 2) -> DataFrame:
     return hypotheses.filter(F.col("n_positive") >= least)
 

@@ -120,6 +120,14 @@ def _consistent(trace: Trace, wanted: DataFrame | None) -> DataFrame:
     return _asked(out, wanted)
 
 
+def _consistent_counts(trace: Trace, wanted: DataFrame | None) -> DataFrame:
+    """The examples of ``_consistent``, counted without being made."""
+    side = lambda x: F.concat_ws(".", f"type_{x}", f"attr_{x}")
+    n = V.pair_counts(trace.states, ["trace_id"], inference=not trace.checking)
+    out = n.select("trace_id", F.least(side(1), side(2)).alias("first"), F.greatest(side(1), side(2)).alias("second"), "n_positive", "n_negative")
+    return _asked(out.groupBy("trace_id", "first", "second").agg(F.sum("n_positive").alias("n_positive"), F.sum("n_negative").alias("n_negative")), wanted)
+
+
 def _constant(trace: Trace, wanted: DataFrame | None) -> DataFrame:
     """Do all tensors that a call returns share a property's value: ``second`` is ``property=value``.
 
@@ -190,7 +198,11 @@ def _threshold(trace: Trace, wanted: DataFrame | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Relation:
-    """``text`` displays an invariant; ``kinds`` are the parameters in the exchange model; ``pivoted`` ones look at the pivots that a precondition allows."""
+    """``text`` displays an invariant; ``kinds`` are the parameters in the exchange model; ``pivoted`` ones look at the pivots that a precondition allows.
+
+    ``counts``: (trace_id, first, second, n_positive, n_negative) where examples
+    are too many to be made; their examples have no step.
+    """
 
     name: str
     text: str
@@ -199,6 +211,7 @@ class Relation:
     kinds: tuple[str, str] = ("api", "api")
     pivoted: bool = False
     skip: tuple[str, ...] = ("function",)
+    counts: Callable[[Trace, DataFrame | None], DataFrame] | None = None
 
 
 POOL: dict[str, Relation] = {
@@ -208,7 +221,7 @@ POOL: dict[str, Relation] = {
         Relation("contain_change", "%s contains a change of %s", _change, ("records",), ("api", "var")),
         Relation("cover", "%s covers %s", _order(cover_examples), pivoted=True),
         Relation("lead", "%s leads to %s", _order(lead_examples), pivoted=True),
-        Relation("consistent", "%s is consistent with %s", _consistent, ("records",), ("var", "var"), skip=("var_type",)),
+        Relation("consistent", "%s is consistent with %s", _consistent, ("records",), ("var", "var"), skip=("var_type",), counts=_consistent_counts),
         Relation("constant_output", "%s always returns %s", _constant, ("return_json",), ("api", "const")),
         Relation("input_output", "%s is returned as %s", _input_output, ("args_json", "return_json"), ("input", "output")),
         Relation("distinct_argument", "%s has distinct arguments in each %s", _distinct, ("args_json",), ("api", "scope")),

@@ -9,6 +9,7 @@ from invarium.plans.check import check
 from invarium.plans.relations import POOL, Trace, display
 from invarium.queries.registry import CALLS, LEVELS, query
 from invarium.queries.relations import LINES, _in_out, _returns
+from invarium.sources.scratch import staged
 from invarium.sources.tables import event_calls, event_records, load
 
 def _placed(calls):
@@ -57,13 +58,13 @@ SELECT first, second, count(*) FILTER (WHERE good)::BIGINT AS n_positive, count(
 
 def _register(relation: str, sql: str) -> None:
     def mine(spark, sf_dir):
-        found = I.merged(I.examples(_traces(spark, sf_dir, relation), (relation,)))
+        found = I.hypotheses(_traces(spark, sf_dir, relation), (relation,))
         return found.select("first", "second", "n_positive", "n_negative")
 
     def checked(spark, sf_dir):
         """Every hypothesis mined is checked as if it held without a condition: its negatives are the violations."""
         trace = _traces(spark, sf_dir, relation)
-        found = I.merged(I.examples(trace, (relation,)))
+        found = staged(I.hypotheses(trace, (relation,)), "hypotheses")
         invariants = found.select("hyp_id", F.col("hyp_id").alias("inv_id"), "relation", "first", "second", display(F.col("relation"), F.col("first"), F.col("second")).alias("text_description"), F.lit(False).alias("inverted"), F.lit('"Unconditional"').alias("precondition"))
         return check(trace.calls, invariants, trace.records).select(F.col("inv_id"), "passed", "triggered", "n_violations")
 
