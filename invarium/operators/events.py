@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from invarium.operators.temporal import islands, next_where, point_in_interval
+from invarium.operators.temporal import islands, next_where, point_in_interval, without_point
 from invarium.schema import EXCEPTION, POST, PRE, PT, STATE, VAR
+from invarium.sources.scratch import staged
 
 #: Threads other than the outermost call's may end this long before the trace does without their last call.
 GRACE_NS = 1_000_000
@@ -86,7 +87,9 @@ def attr_states(values: DataFrame, trace_end: DataFrame | None = None) -> DataFr
     )
     end = trace_end if trace_end is not None else values.groupBy("trace_id").agg(F.max("time_ns").alias("trace_end_ns"))
     w = Window.partitionBy(*key).orderBy("state_no")
-    return states.join(end, "trace_id").withColumn("end_ns", F.coalesce(F.lead("start_ns").over(w), F.col("trace_end_ns"))).drop("trace_end_ns")
+    states = states.withColumn("__next", F.lead("start_ns").over(w))
+    # a row a trace: a join by trace alone would send all states of one to one task
+    return states.join(F.broadcast(end), "trace_id").withColumn("end_ns", F.coalesce("__next", F.col("trace_end_ns"))).drop("trace_end_ns", "__next")
 
 
 def var_changes(states: DataFrame) -> DataFrame:
@@ -155,9 +158,14 @@ def causal_vars(of_calls: DataFrame) -> DataFrame:
 
 
 def unchanged_vars(of_calls: DataFrame, causal: DataFrame, changes: DataFrame) -> DataFrame:
-    """Causally related variables that do not change within the call."""
-    moved = changes_in_calls(of_calls, changes).select("trace_id", "func_call_id", "var_name").distinct()
-    return causal.join(moved, ["trace_id", "func_call_id", "var_name"], "left_anti")
+    """Causally related variables that do not change within the call.
+
+    A change is looked for by its variable and time, in one join that makes no
+    pair of a call and a change.
+    """
+    names = causal.select("trace_id", "process_id", "var_name").distinct()
+    moved = changes.select("trace_id", "process_id", "var_name", "change_ns").distinct().join(names, ["trace_id", "process_id", "var_name"], "left_semi")
+    return without_point(causal, staged(moved, "moved"), ["trace_id", "process_id", "var_name"], "change_ns", "start_ns", F.coalesce(F.col("end_ns"), F.col("start_ns") + GRACE_NS))
 
 
 def states_before(values: DataFrame, points: DataFrame) -> DataFrame:

@@ -30,6 +30,26 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, keys: Iterable[st
     return joined.filter((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("__level", "__cell")
 
 
+def without_point(intervals: DataFrame, points: DataFrame, keys: Iterable[str], point: str, lo: str, hi: Column) -> DataFrame:
+    """Intervals [lo, hi] that hold no point of equal ``keys``.
+
+    An interval stays one row, in the cell of its start on the grid that fits
+    its length; a point is entered in its own cell and the one before, on each
+    of the 32 grids at most.
+    """
+    keys = list(keys)
+    level = (F.ceil(F.log2(F.greatest(hi - F.col(lo), F.lit(1)).cast("double")) / 2) * 2).cast("int")
+    placed = intervals.withColumn("__hi", hi).withColumn("__level", level).withColumn("__cell", F.expr(f"shiftright({lo}, __level)"))
+    used = placed.agg(F.collect_set("__level").alias("__levels"))  # one row, 32 values at most
+    looked = points.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(point).alias("__point")).join(F.broadcast(used), F.lit(True)).select("*", F.explode("__levels").alias("__grid"))
+    own = F.expr("shiftright(__point, __grid)")
+    looked = looked.withColumn("__at", F.explode(F.array(own, own - 1))).drop("__levels")
+    same = (F.col("__level") == F.col("__grid")) & (F.col("__cell") == F.col("__at")) & (F.col("__point") >= F.col(lo)) & (F.col("__point") <= F.col("__hi"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return placed.join(looked, same, "left_anti").drop("__hi", "__level", "__cell")
+
+
 def interval_overlap(a: DataFrame, b: DataFrame, keys: Iterable[str], a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
     """Pairs whose closed intervals meet: the later start lies in the other interval."""
     keys = list(keys)

@@ -155,7 +155,7 @@ def time_pct(spark, sf_dir):
 
 @query(f"WITH {CALLS} SELECT func_call_id, function, process_id, thread_id, start_ns, end_ns, 'ok' AS outcome, step, stage, args_json FROM calls")
 def calls(spark, sf_dir):
-    return E.calls(event_records(spark, sf_dir)).select("func_call_id", "function", "process_id", "thread_id", "start_ns", "end_ns", "outcome", "step", "stage", "args_json")
+    return E.calls(event_records(spark, sf_dir).filter(F.col("type") != STATE)).select("func_call_id", "function", "process_id", "thread_id", "start_ns", "end_ns", "outcome", "step", "stage", "args_json")
 
 
 @query(
@@ -268,7 +268,7 @@ causal AS (SELECT c.func_call_id, c.function, c.process_id, c.start_ns, c.end_ns
 
 
 def _record_calls(spark, sf_dir):
-    return E.calls(event_records(spark, sf_dir))
+    return E.calls(event_records(spark, sf_dir).filter(F.col("type") != STATE))
 
 
 @query(f"WITH {CALLS}, {CAUSAL} SELECT func_call_id, function, var_name, 'Parameter' AS var_type FROM causal")

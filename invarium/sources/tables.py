@@ -27,23 +27,21 @@ def stage_of(step: Column) -> Column:
     return F.when(step % 3 == 0, "init").when(step % 3 == 1, "training").otherwise("evaluation")
 
 
-def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls in the model of ``operators.events.calls``, straight from events."""
+def event_calls(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Calls in the model of ``operators.events.calls``, straight from events; ``more`` columns of them."""
     start = micros("ts") * 1000
     e = load(spark, sf_dir, "events").withColumn("step", day("ts"))
     return e.select(
         F.lit("events").alias("trace_id"), F.col("event_id").cast("string").alias("func_call_id"), F.col("event_type").alias("function"),
         (F.col("user_id") % 4).alias("process_id"), (F.col("user_id") % 16).alias("thread_id"), start.alias("start_ns"),
         (start + F.round(F.col("value") * 60).cast("long") * 1_000_000_000).alias("end_ns"), F.lit("ok").alias("outcome"), "step", stage_of(F.col("step")).alias("stage"),
-        F.col("user_id").alias("obj_id"), F.col("props").alias("args_json"),
+        F.col("user_id").alias("obj_id"), F.col("props").alias("args_json"), *more,
     )
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre and post records of the same calls, and a state of the user's ``level`` at each event."""
-    c = event_calls(spark, sf_dir).withColumn("event_id", F.col("func_call_id").cast("long"))
-    value = load(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") / 100).cast("long").cast("string").alias("level"))
-    c = c.join(value, "event_id")
+    c = event_calls(spark, sf_dir, F.col("event_id"), F.floor(F.col("value") / 100).cast("long").cast("string").alias("level"))
     none = lambda kind: F.lit(None).cast(kind)
 
     def rows(kind: str, time: Column, order: int) -> DataFrame:
